@@ -1,6 +1,68 @@
-STAGES = []
+"""A training-corpus pipeline over documents: language, exact copies, near copies, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as
+the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanlens.llm import exact_dedup, language_id, lsh_forest, packing, secret_scan
+from spanlens.llm.common import Scratch, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, null ones included, go. A null lang becomes the predicted language; all else stays as it is."""
+    import public_tokenizers
+
+    scored = language_id.language_id(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs, a table read from files, without the rows whose position is in dropped.uid."""
+    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(dropped.select(F.col("uid").alias("_uid")), "_uid", "left_anti").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are equal but for the case of A-Z, the one with the largest doc_id stays."""
+    return without(docs, exact_dedup.exact_groups(docs).where("NOT kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked by a similarity of 0.8 on five-word shingles, the one with the smallest doc_id stays."""
+    return without(docs, lsh_forest.forest_groups(docs).where("NOT kept"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets found in a text are replaced by a mark; n_chars follows."""
+    return secret_scan.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document, with its sequence of at most 2048 tokens and its offset there."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+#: The stages tokenize, fit a model and hash, which SQL can't express; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir))
+    return docs

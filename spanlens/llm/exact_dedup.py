@@ -27,12 +27,17 @@ def normalised(column: str = "text"):
 
 
 def exact_dedup(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text).
+    """exact_groups without uid."""
+    return exact_groups(docs, widths).drop("uid")
+
+
+def exact_groups(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """uid, doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text).
 
     Null text counts as empty. Texts are equal when they are the same after lower-casing A-Z. Of equal
     texts the row with the largest doc_id stays, null being smallest; where rows also share the doc_id,
     exactly one of them stays. Rows with null doc_id take part and get keep_id of their group. An empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns are ignored. uid is the row's monotonically_increasing_id.
     """
     scratch = Scratch(docs.sparkSession, "radix")
     text = F.encode(normalised(), "utf-8")
@@ -62,8 +67,8 @@ def exact_dedup(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     top = F.max(F.struct("doc_id", "uid"))
     groups = ended.where("n > 1").groupBy("grp").agg(top.alias("top"), F.count("*").alias("group_size"))
     several = ended.where("n > 1").join(groups, "grp").select(
-        "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("top.uid")).alias("kept"), F.col("sha").alias("text_sha256"))
-    single = ended.where("n = 1").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+        "uid", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("top.uid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    single = ended.where("n = 1").select("uid", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     return single.unionByName(several)
 
 
