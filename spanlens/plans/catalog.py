@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import detect_queries
+
+QUERIES: dict = detect_queries.QUERIES
+SQL: dict[str, str] = detect_queries.SQL
