@@ -100,7 +100,7 @@ LOOK_ALIKES = ("lIOo", "1100")
 def ocr_date(x: Column) -> Column:
     """A day-first date in which letters stand for digits, with those read as digits: at least one such letter and three digits; else null."""
     d = F.translate(x, *LOOK_ALIKES)
-    part = lambda k: F.split(d, "[./-]")[k].try_cast("int")
+    part = lambda k: F.get(F.split(d, "[./-]"), F.lit(k)).try_cast("int")
     shape = x.rlike(r"^[0-9lIOo]{1,2}[./-][0-9lIOo]{1,2}[./-](?:[0-9lIOo]{4}|[0-9lIOo]{2})\z") & x.rlike("[lIOo]") & (digit_count(x) >= 3)
     return F.when(shape & part(0).between(1, 31) & part(1).between(1, 12), d)
 

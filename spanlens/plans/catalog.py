@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import detect_queries
+from . import detect_queries, judge_queries, metric_queries
 
-QUERIES: dict = detect_queries.QUERIES
-SQL: dict[str, str] = detect_queries.SQL
+_PARTS = (detect_queries, metric_queries, judge_queries)
+QUERIES: dict = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+SQL: dict[str, str] = {name: q for part in _PARTS for name, q in part.SQL.items()}
