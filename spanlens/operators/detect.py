@@ -76,7 +76,9 @@ def scan_text(rows: DataFrame, dets: Iterable[Detector] | None = None, text: str
     """All columns of rows but the text, with span: one row for each hit of each detector. No shuffle, no Python."""
     dets = detectors() if dets is None else tuple(dets)
     spans = F.concat(*[spans_of(F.col(text), d) for d in dets])
-    return rows.where(F.col(text).isNotNull() & (F.col(text) != "")).select(*[c for c in rows.columns if c != text], F.explode(spans).alias("span"))
+    # explode_outer: for a plain explode the optimiser computes the array once more, to see if it is empty.
+    found = rows.where(F.col(text).isNotNull() & (F.col(text) != "")).select(*[c for c in rows.columns if c != text], F.explode_outer(spans).alias("span"))
+    return found.where("span IS NOT NULL")
 
 
 def flat(found: DataFrame) -> DataFrame:
