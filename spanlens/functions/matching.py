@@ -21,20 +21,23 @@ def unicode_rules(pattern: str) -> str:
     return "(?Ud)" + pattern
 
 
-def all_matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, match): start is 1-based, end inclusive, both in code points. Null text gives an empty array.
-
-    Gaps between matches come from split, matches from regexp_extract_all; one pass adds up lengths."""
-    empty = F.array().cast(MATCHES)
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"] + 1
-        end = acc["at"] + x["gap"] + F.coalesce(F.char_length(x["match"]), F.lit(0))
-        hit = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.when(x["match"].isNotNull(), F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
-
-    walked = F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("match")), first, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+def literal(s: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def all_matches(text: str, pattern: str) -> Column:
+    """Array of (start, end, match) over the column named `text`: start is 1-based, end inclusive, both in code points.
+    Null text gives an empty array.
+
+    Gaps between matches come from split, matches from regexp_extract_all; one pass adds up lengths. It is written as
+    one SQL expression, since a scan builds dozens of them and each call to the JVM counts."""
+    return F.expr(all_matches_sql(text, pattern))
+
+
+def all_matches_sql(text: str, pattern: str) -> str:
+    t, p, none = f"`{text}`", literal(pattern), f"CAST(array() AS {MATCHES})"
+    hit = "named_struct('start', acc.at + x.gap + 1, 'end', acc.at + x.gap + char_length(x.hit), 'match', x.hit)"
+    step = f"named_struct('at', acc.at + x.gap + coalesce(char_length(x.hit), 0), 'out', CASE WHEN x.hit IS NOT NULL THEN concat(acc.out, array({hit})) ELSE acc.out END)"
+    pairs = f"zip_with(transform(split({t}, {p}, -1), g -> char_length(g)), regexp_extract_all({t}, {p}, 0), (g, h) -> named_struct('gap', g, 'hit', h))"
+    return f"CASE WHEN {t} RLIKE {p} THEN aggregate({pairs}, named_struct('at', 0, 'out', {none}), (acc, x) -> {step}, acc -> acc.out) ELSE {none} END"

@@ -64,8 +64,8 @@ def confidence(d: Detector, match: Column, floor: bool) -> Column:
     return F.when(d.validate(match), F.lit(VALID)).otherwise(F.lit(max(LEAST, failed) if floor else failed))
 
 
-def spans_of(text: Column, d: Detector) -> Column:
-    """Array of a detector's spans in a text."""
+def spans_of(text: str, d: Detector) -> Column:
+    """Array of a detector's spans in the column named `text`."""
     return F.transform(
         all_matches(text, ascii_rules(d.pattern)),
         lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), F.lit(d.type).alias("type"), F.lit(d.identifier).alias("identifier"), F.lit(f"rule:{d.name}").alias("detector"), confidence(d, m["match"], True).alias("confidence")),
@@ -75,7 +75,7 @@ def spans_of(text: Column, d: Detector) -> Column:
 def scan_text(rows: DataFrame, dets: Iterable[Detector] | None = None, text: str = "text") -> DataFrame:
     """All columns of rows but the text, with span: one row for each hit of each detector. No shuffle, no Python."""
     dets = detectors() if dets is None else tuple(dets)
-    spans = F.concat(*[spans_of(F.col(text), d) for d in dets])
+    spans = F.concat(*[spans_of(text, d) for d in dets])
     # explode_outer: for a plain explode the optimiser computes the array once more, to see if it is empty.
     found = rows.where(F.col(text).isNotNull() & (F.col(text) != "")).select(*[c for c in rows.columns if c != text], F.explode_outer(spans).alias("span"))
     return found.where("span IS NOT NULL")

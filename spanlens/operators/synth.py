@@ -67,7 +67,7 @@ def corpus(spark: SparkSession, n: int, seed: int = 0, test_share: int = 5) -> D
     ]
     chosen = F.array_join(F.filter(F.array(*[F.when(draw(f"use{i}", 10, seed) < 8, p) for i, p in enumerate(parts)]), lambda x: x.isNotNull()), " ")
     body = F.concat(chosen, F.lit(" BP 120/80, review in 3/7."))
-    noted = rows.withColumn("body", body).withColumn("note", parse_markup(F.col("body")))
+    noted = rows.withColumn("body", body).withColumn("note", parse_markup("body"))
     where = F.locate("120/80", F.col("note.text"))
     decoy = F.array(F.struct(where.alias("start"), (where + 5).alias("end"), F.lit("120/80").alias("match"), F.lit("measurement").alias("type")))
     return noted.select(F.concat(F.lit("doc-"), F.col("id").cast("string")).alias("id"), "split", F.lit("note").alias("kind"), "note.text", "note.spans", decoy.alias("decoys"))

@@ -69,7 +69,7 @@ for _n in ("nric", "temp_ic", "case", "mrn", "passport", "postal", "postal6", "d
 
 def detect_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone numbers in order; the oracle has no look-around, so it doubles delimiters and offsets aren't compared."""
-    found = notes(spark, sf_dir).select("row", F.posexplode(detect.spans_of(F.col("text"), ALL["phone"])).alias("ordinal", "span"))
+    found = notes(spark, sf_dir).select("row", F.posexplode(detect.spans_of("text", ALL["phone"])).alias("ordinal", "span"))
     return found.select("row", (F.col("ordinal") + 1).alias("ordinal"), F.col("span.match").alias("match"))
 
 
@@ -193,7 +193,7 @@ SQL["classify_value"] = f"WITH cells AS (SELECT o_orderkey AS row, {CELL} AS val
 def dedup_query(spark, sf_dir):
     """Spans of each note without overlaps."""
     dets = detect.detectors(postal6=True)
-    spans = F.concat(*[detect.spans_of(F.col("text"), d) for d in dets])
+    spans = F.concat(*[detect.spans_of("text", d) for d in dets])
     return detect.flat(notes(spark, sf_dir).select("row", F.explode(detect.dedup_overlaps(spans)).alias("span")))
 
 

@@ -16,9 +16,9 @@ MARK = r"\{\{[^|{}]*\|[^{}]*\}\}"
 SPANS = "array<struct<start:int,end:int,match:string,label:string>>"
 
 
-def parse_markup(body: Column) -> Column:
-    """Struct (text, spans) of a note in which {{label|text}} marks gold. Unknown labels and unbalanced marks are errors."""
-    marks = all_matches(body, MARK)
+def parse_markup(name: str) -> Column:
+    """Struct (text, spans) of the note in the column `name`, in which {{label|text}} marks gold. Unknown labels and unbalanced marks are errors."""
+    body, marks = F.col(name), all_matches(name, MARK)
     inner = F.transform(marks, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.regexp_extract(m["match"], r"\A\{\{([^|]*)\|", 1).alias("label"), F.regexp_extract(m["match"], r"(?s)\|(.*)\}\}\z", 1).alias("match")))
     first = F.struct(F.lit(0).alias("cut"), F.array().cast(SPANS).alias("out"))
 
@@ -41,7 +41,8 @@ def read_markup(spark: SparkSession, path: str) -> DataFrame:
     split = files.select(F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), r"(?m)^=== ")).alias("at", "part")).where("at > 0")
     head = F.regexp_extract("part", r"\A([^\n]*?) ===[ \t]*\n?", 1)
     body = F.btrim(F.regexp_replace("part", r"\A[^\n]*\n?", ""), F.lit("\n"))
-    parsed = split.select(F.trim(F.get(F.split(head, r"\|"), F.lit(0))).alias("id"), F.trim(F.get(F.split(head, r"\|"), F.lit(1))).alias("kind"), parse_markup(body).alias("note"))
+    named = split.select(F.trim(F.get(F.split(head, r"\|"), F.lit(0))).alias("id"), F.trim(F.get(F.split(head, r"\|"), F.lit(1))).alias("kind"), body.alias("body"))
+    parsed = named.select("id", "kind", parse_markup("body").alias("note"))
     return parsed.select("id", "kind", "note.text", "note.spans")
 
 

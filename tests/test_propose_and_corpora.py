@@ -6,18 +6,22 @@ from spanlens.sources import corpora
 from spanlens.streaming.scan import counts_by_window, scan_stream
 
 
-@pytest.mark.parametrize("text, match, source", [
+CASES = [
     ("seen 3 Mar 2020 ok", "3 Mar 2020", "shape:date"), ("on 2004年3月8日。", "2004年3月8日", "shape:date"), ("call +63 917 552 0184 now", "+63 917 552 0184", "shape:phone"), ("call 8xxx 6631.", "8xxx 6631", "shape:phone"),
     ("ref FDW/26/0071834 end", "FDW/26/0071834", "shape:id"), ("plate FBL 6632 E here", "FBL 6632 E", "shape:plate"), ("see IMG_4410.JPG.", "IMG_4410.JPG", "shape:file"), ("born l4.O2.l95l", "l4.O2.l95l", "shape:ocr_date"),
     ("nine one seven seven zero four two six", "nine one seven seven zero four two six", "shape:spoken_number"), ("he d. 1998 at home", "1998", "shape:date"), ("WeChat ID linzq_1992sg", "linzq_1992sg", "shape:handle"),
     ("social.example.com/a.b.1993 x", "social.example.com/a.b.1993", "shape:url"), ("G****262U", "G****262U", "shape:id"), ("NRIC ending 412D", "412D", "shape:id"), ("Sex/YOB M/1961", "1961", "shape:yob"),
     ("D3S1358 15/16, vWA 17/18", "D3S1358 15/16, vWA 17/18", "shape:dna"), ("known chronic hepatitis B infection", "known chronic hepatitis B infection", "lexicon:hiv_sti"), ("at Blk 12 Ang Mo Kio Ave 3, #05-12", "Blk 12 Ang Mo Kio Ave 3, #05-12", "shape:address"),
-])
-def test_shapes(spark, text, match, source):
-    got = {(r.match, s) for r in propose.propose(spark.createDataFrame([(1, text)], "row long, text string")).collect() for s in r.sources}
-    assert (match, source) in got
-    for r in propose.propose(spark.createDataFrame([(1, text)], "row long, text string")).collect():
-        assert text[r.span_start - 1 : r.span_end] == r.match
+]
+
+
+def test_shapes(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(CASES)], "row long, text string")
+    found = propose.propose(rows).collect()
+    got = {(r.row, r.match, s) for r in found for s in r.sources}
+    assert [c for i, c in enumerate(CASES) if (i, c[1], c[2]) not in got] == []
+    for r in found:
+        assert CASES[r.row][0][r.span_start - 1 : r.span_end] == r.match
 
 
 def test_shapes_need_their_cue(spark):
