@@ -95,23 +95,39 @@ def buckets_of(values: np.ndarray, bucket: np.ndarray, n: int) -> Iterator[tuple
             yield k, np.unique(values[order[edges[k] : edges[k + 1]]])
 
 
-SENT = "bucket long, batch long, data binary"
+SENT = "bucket long, owners binary, counts binary, data binary"
 REPLY = "batch long, bucket long, data binary, first binary"
+#: Fingerprints that a task holds before it sends them.
+HELD = 2_000_000
 
 
-def sent(batch_id: int, found: Iterable[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    found = list(found)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([k for k, _ in found], pa.int64()), pa.array([batch_id] * len(found), pa.int64()), pa.array([v.astype("<u8").tobytes() for _, v in found], pa.binary())],
-        ["bucket", "batch", "data"],
-    )
+def sent(found: Iterable[tuple[int, Iterable[tuple[int, np.ndarray]]]]) -> Iterator[pa.RecordBatch]:
+    """Rows for the buckets from (batch, its (bucket, values)): a bucket gets one row for all batches of a task, so rows grow
+    with tasks and not with batches."""
+    held: dict[int, list[tuple[int, np.ndarray]]] = {}
+    total = 0
+
+    def out() -> pa.RecordBatch:
+        rows = [(k, np.array([b for b, _ in v], "<i8").tobytes(), np.array([len(x) for _, x in v], "<i8").tobytes(), np.concatenate([x for _, x in v]).astype("<u8").tobytes()) for k, v in held.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], ["bucket", "owners", "counts", "data"])
+
+    for batch_id, values in found:
+        for k, v in values:
+            held.setdefault(k, []).append((batch_id, v))
+            total += len(v)
+        if total > HELD:
+            yield out()
+            held.clear()
+            total = 0
+    if held:
+        yield out()
 
 
 def shared(group: pa.Table) -> pa.Table:
     """Of one bucket: for each batch the values that another batch has sent too, and whether it is the first to hold them."""
-    data = group["data"].to_pylist()
-    values = np.frombuffer(b"".join(data), "<u8")
-    owner = np.repeat(group["batch"].to_numpy(), [len(d) // 8 for d in data])
+    joined = lambda c: b"".join(group[c].to_pylist())
+    values = np.frombuffer(joined("data"), "<u8")
+    owner = np.repeat(np.frombuffer(joined("owners"), "<i8"), np.frombuffer(joined("counts"), "<i8"))
     order = np.lexsort((owner, values))
     values, owner = values[order], owner[order]
     new = np.ones(len(values) + 1, bool)
@@ -166,7 +182,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     spark = docs.sparkSession
     small_batches(spark, batch_docs)
     scratch = Scratch(spark, "suffixes")
-    n_buckets = 4 * partitions(spark)
+    n_buckets = partitions(spark)
     window = length - period + 1
     uid = F.monotonically_increasing_id()
     base = docs.select("doc_id", F.encode(text_or_empty(), "utf-8").alias("b"), uid.alias("uid"))
@@ -178,14 +194,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
         return s, at, s.prints(at, window) if len(at) else np.zeros(0, np.uint64)
 
     def send_samples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch_id, rows in by_batch(whole):
-                texts = rows.column(1).to_pylist()
-                _, at, prints = sample_of(texts)
-                if len(at):
-                    yield sent(batch_id, buckets_of(prints, (prints >> np.uint64(40)) % np.uint64(n_buckets), n_buckets))
-                digests = np.array([xxhash.xxh3_64_intdigest(t) for t in texts if len(t) >= length], np.uint64)
-                yield sent(batch_id, ((WHOLE - k, v) for k, v in buckets_of(digests, digests % np.uint64(n_buckets), n_buckets)))
+        def found():
+            for whole in batches:
+                for batch_id, rows in by_batch(whole):
+                    texts = rows.column(1).to_pylist()
+                    _, at, prints = sample_of(texts)
+                    if len(at):
+                        yield batch_id, buckets_of(prints, (prints >> np.uint64(40)) % np.uint64(n_buckets), n_buckets)
+                    digests = np.array([xxhash.xxh3_64_intdigest(t) for t in texts if len(t) >= length], np.uint64)
+                    yield batch_id, ((WHOLE - k, v) for k, v in buckets_of(digests, digests % np.uint64(n_buckets), n_buckets))
+
+        yield from sent(found())
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     first_replies = scratch.write(exchange(base.select("batch", "b").mapInArrow(send_samples, SENT)))
@@ -249,12 +268,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     for k in range(passes):
 
         def send_suffixes(batches: Iterable[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch_id, part in by_batch(whole):
-                    _, _, prints, second = fingerprints(part.column(1).to_pylist(), part.column(2).to_pylist())
-                    block = second % np.uint64(passes) == k
-                    bucket = (second[block] >> np.uint64(32)) % np.uint64(n_buckets)
-                    yield sent(batch_id, buckets_of(prints[block], bucket, n_buckets))
+            def found():
+                for whole in batches:
+                    for batch_id, part in by_batch(whole):
+                        _, _, prints, second = fingerprints(part.column(1).to_pylist(), part.column(2).to_pylist())
+                        block = second % np.uint64(passes) == k
+                        bucket = (second[block] >> np.uint64(32)) % np.uint64(n_buckets)
+                        yield batch_id, buckets_of(prints[block], bucket, n_buckets)
+
+            yield from sent(found())
 
         found = scratch.write(exchange(open_rows.select("batch", "b", "starts").mapInArrow(send_suffixes, SENT)).drop("first"))
         replies = found if replies is None else replies.unionByName(found)
