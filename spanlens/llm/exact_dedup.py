@@ -53,7 +53,7 @@ def exact_groups(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame
     done: list[DataFrame] = []
     level = 0
     while True:
-        state = scratch.write(_split(rows))
+        state = scratch.write(_split(rows, scratch))
         done.append(state.where(F.length("tail") == 0).drop("tail"))
         rest = state.where(F.length("tail") > 0)
         if rest.isEmpty():
@@ -65,19 +65,23 @@ def exact_groups(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame
     for more in done[1:]:
         ended = ended.unionByName(more)
     top = F.max(F.struct("doc_id", "uid"))
-    groups = ended.where("n > 1").groupBy("grp").agg(top.alias("top"), F.count("*").alias("group_size"))
-    several = ended.where("n > 1").join(groups, "grp").select(
+    groups = scratch.write(ended.where("n > 1").groupBy(F.col("grp").alias("g0")).agg(top.alias("top"), F.count("*").alias("group_size")))
+    several = ended.where("n > 1").join(groups, F.col("grp") == F.col("g0")).select(
         "uid", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("top.uid")).alias("kept"), F.col("sha").alias("text_sha256"))
     single = ended.where("n = 1").select("uid", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     return single.unionByName(several)
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    """Rows with the group of their digit; those alone in it have ended, so their tail goes."""
-    groups = rows.groupBy(F.col("grp").alias("g0"), F.col("digit").alias("d0")).agg(F.count("*").alias("n"), F.min("uid").alias("new"))
-    met = rows.join(groups, (F.col("grp") == F.col("g0")) & (F.col("digit") == F.col("d0")))
-    alone = F.col("n") == 1
-    return met.select("doc_id", "uid", "sha", F.col("new").alias("grp"), "n", F.when(alone, F.lit(b"")).otherwise(F.col("tail")).alias("tail"))
+def _split(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows with the group of their digit, a row alone in it being a group of its own, whose tail goes.
+
+    Groups of several rows are written first: both sides of the join then have an exchange of their own, so adaptive
+    execution can split a large group, or broadcast the groups where they are few."""
+    several = rows.groupBy(F.col("grp").alias("g0"), F.col("digit").alias("d0")).agg(F.count("*").alias("n"), F.min("uid").alias("new")).where("n > 1")
+    groups = scratch.write(several)
+    met = rows.join(groups, (F.col("grp") == F.col("g0")) & (F.col("digit") == F.col("d0")), "left")
+    tail = F.when(F.col("n").isNull(), F.lit(b"")).otherwise(F.col("tail"))
+    return met.select("doc_id", "uid", "sha", F.coalesce("new", "uid").alias("grp"), F.coalesce("n", F.lit(1)).alias("n"), tail.alias("tail"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
