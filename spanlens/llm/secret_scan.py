@@ -86,10 +86,13 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """paths (blob, ...) with spans, the sorted findings of all rules, one row for each path."""
+def findings(paths: DataFrame, ledger: DataFrame, scratch: Scratch, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """paths (blob, ...) with spans, the sorted findings of all rules, one row for each path.
+
+    Findings by blob are written before they are joined, so that each side of the join has its own exchange and the
+    partition of a blob that many paths share can be split."""
     of = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return paths.join(of, "blob")
+    return paths.join(scratch.write(of), "blob")
 
 
 def addressed(docs: DataFrame) -> DataFrame:
@@ -105,9 +108,10 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     table gives empty results. The added part of the ledger is written once and read for the join.
     """
     paths = addressed(docs.select("doc_id", "text"))
-    added = Scratch(docs.sparkSession, "ledger").write(scan_blobs(paths, ledger, rules))
+    scratch = Scratch(docs.sparkSession, "ledger")
+    added = scratch.write(scan_blobs(paths, ledger, rules))
     whole = added if ledger is None else ledger.select(added.columns).unionByName(added)
-    return findings(paths.select("doc_id", "blob"), whole, rules), whole
+    return findings(paths.select("doc_id", "blob"), whole, scratch, rules), whole
 
 
 def count_of(spans: Column, kind: str) -> Column:
