@@ -88,6 +88,17 @@ class Pieces(dict):
         return value
 
 
+_owner: list = [None, None]
+
+
+def own_memory(operator: str, forget: Callable[[], None]) -> None:
+    """Called as a task starts: a worker keeps the memos of one operator at a time, so those of a pipeline's stages don't add up."""
+    if _owner[0] != operator:
+        if _owner[1] is not None:
+            _owner[1]()
+        _owner[:] = [operator, forget]
+
+
 def quiet_tokenizers() -> None:
     """One thread for each task: Spark's own tasks fill the cores."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small_batches, table
+from .common import arrow_map, own_memory, small_batches, table
 
 START = "▁"
 WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -182,7 +182,7 @@ _scorers: dict[str, "Scorer"] = {}
 class Scorer:
     """Language log probabilities of texts. Rows of `values` are sums over a chunk's words; row 0 is a chunk without a letter."""
 
-    def __init__(self, model: Model, limit: int = 500_000):
+    def __init__(self, model: Model, limit: int = 400_000):
         self.model, self.lattice, self.limit = model, Lattice(model.pieces), limit
         self.reset()
 
@@ -246,6 +246,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        own_memory("language_id", _scorers.clear)
         if shared.value is not None and (key := str(id(shared.value))) not in _scorers:
             _scorers.clear()  # one model at a time, so a worker's memory stays bounded
             _scorers[key] = Scorer(shared.value)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Pieces, Scratch, arrow_map, partitions, small_batches, table, text_or_empty
+from .common import Pieces, Scratch, arrow_map, own_memory, small_batches, table, text_or_empty
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -113,6 +113,8 @@ def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     """uid, doc_id, n (shingles), class_key (a digest of the shingle set) and keys (a digest of each tree's label prefix)."""
 
     def make():
+        own_memory("lsh_forest", _single.clear)
+
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, classes, keys = [], [], []
             for text in batch.column(1).to_pylist():
@@ -242,6 +244,7 @@ def _verified(blocks: DataFrame, base: DataFrame, scratch: Scratch, similarity:
     dealt = texts.select("uid", "text", "copies", "keys", "block", "root", "task.b1", "task.b2")
 
     def run(keys: tuple, group: pa.Table) -> pa.Table:
+        own_memory("lsh_forest", _single.clear)
         b1, b2 = keys[1].as_py(), keys[2].as_py()
         block = group["block"].to_numpy()
         order = np.argsort(block, kind="stable")

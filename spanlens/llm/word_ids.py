@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import Pieces, quiet_tokenizers
+from .common import Pieces, own_memory, quiet_tokenizers
 
 _encoders: dict[str, "WordIds"] = {}
 
 
 def word_encoder(path: str) -> "WordIds":
     """The worker's encoder for a vocabulary file; it and its memo last as long as the worker."""
+    own_memory("word_ids", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordIds(path)
     return _encoders[path]
@@ -29,7 +30,7 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words = Pieces(self._word, 800_000)
+        self.words = Pieces(self._word, 600_000)
         self.chunks = Pieces(self._chunk, 400_000)
 
     def _word(self, word: str) -> bytes:
