@@ -130,6 +130,10 @@ def shared(group: pa.Table) -> pa.Table:
     owner = np.repeat(np.frombuffer(joined("owners"), "<i8"), np.frombuffer(joined("counts"), "<i8"))
     order = np.lexsort((owner, values))
     values, owner = values[order], owner[order]
+    # A batch that goes over in several runs may send a value in each.
+    once = np.ones(len(values), bool)
+    once[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    values, owner = values[once], owner[once]
     new = np.ones(len(values) + 1, bool)
     new[1:-1] = values[1:] != values[:-1]
     common = ~(new[:-1] & new[1:])
@@ -148,7 +152,7 @@ def exchange(entries: DataFrame) -> DataFrame:
 
 
 def by_batch(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Runs of rows of one batch (column 0)."""
+    """Runs of rows of one batch (column 0); a batch may come in several, around long documents or where Arrow cuts it."""
     ids = batch.column(0).to_numpy()
     edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)]
     for i, j in zip(edges, edges[1:]):
@@ -171,7 +175,7 @@ def positions(spans: bytes) -> np.ndarray:
 WHOLE = -1
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, passes: int = PASSES, batch_docs: int = BATCH_DOCS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER, passes: int = PASSES, batch_docs: int = BATCH_DOCS, long: int = LONG) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept for every row of docs (doc_id, text).
 
     kept is what is left of the text as bytes (a cut may fall inside a character), null where nothing was
@@ -186,7 +190,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     window = length - period + 1
     uid = F.monotonically_increasing_id()
     base = docs.select("doc_id", F.encode(text_or_empty(), "utf-8").alias("b"), uid.alias("uid"))
-    base = base.select(F.when(F.length("b") > LONG, -1 - F.col("uid")).otherwise(F.floor(F.col("uid") / batch_docs)).cast("long").alias("batch"), "uid", "doc_id", "b")
+    base = base.select(F.when(F.length("b") > long, -1 - F.col("uid")).otherwise(F.floor(F.col("uid") / batch_docs)).cast("long").alias("batch"), "uid", "doc_id", "b")
 
     def sample_of(texts: list[bytes]) -> tuple[Strings, np.ndarray, np.ndarray]:
         s = Strings(texts)

@@ -38,5 +38,16 @@ def test_removal_equals_brute_force(spark, odd_docs, documents, batch_docs):
         assert sorted(map(tuple, got.drop("kept").collect()), key=repr) == brute(docs.collect(), 400)
 
 
+def test_copies_on_both_sides_of_a_long_document(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdef \n"), n))
+    copy, long = word(900), word(3000)
+    texts = [copy, long, copy, word(300) + copy[100:700] + word(200), copy, word(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for batch_docs in (4, 512):
+        got = suffix_dedup.remove_repeats(docs, batch_docs=batch_docs, long=2000)
+        assert sorted(map(tuple, got.drop("kept").collect()), key=repr) == brute(docs.collect(), 400)
+
+
 def test_empty_table(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
