@@ -6,6 +6,8 @@ the next one's docs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +23,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return scored.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs, a table read from files, without the rows whose position is in dropped.uid."""
-    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(dropped.select(F.col("uid").alias("_uid")), "_uid", "left_anti").select(docs.columns)
+def kept_rows(spark: SparkSession, docs: DataFrame, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the rows that groups doesn't keep. Rows are numbered once, in a written table that groups and the rows kept are read from."""
+    numbered = Scratch(spark, "numbered").numbered(docs, *docs.columns)
+    dropped = groups(numbered).where("NOT kept").select("uid")
+    return numbered.join(dropped, "uid", "left_anti").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal but for the case of A-Z, the one with the largest doc_id stays."""
-    return without(docs, exact_dedup.exact_groups(docs).where("NOT kept"))
+    return kept_rows(spark, docs, exact_dedup.exact_groups)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked by a similarity of 0.8 on five-word shingles, the one with the smallest doc_id stays."""
-    return without(docs, lsh_forest.forest_groups(docs).where("NOT kept"))
+    return kept_rows(spark, docs, lsh_forest.forest_groups)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

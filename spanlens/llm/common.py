@@ -49,6 +49,11 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def numbered(self, docs: DataFrame, *columns) -> DataFrame:
+        """The columns of docs with uid, a number for each row, written: a number given anew at each read follows the file
+        splits, which follow the executors alive at planning, so it must be given once where several jobs rely on it."""
+        return self.write(docs.select(*columns, F.monotonically_increasing_id().alias("uid")))
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -28,24 +28,25 @@ def normalised(column: str = "text"):
 
 def exact_dedup(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """exact_groups without uid."""
-    return exact_groups(docs, widths).drop("uid")
+    numbered = Scratch(docs.sparkSession, "numbered").numbered(docs, "doc_id", "text")
+    return exact_groups(numbered, widths).drop("uid")
 
 
 def exact_groups(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """uid, doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text).
+    """uid, doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (uid, doc_id, text).
 
-    Null text counts as empty. Texts are equal when they are the same after lower-casing A-Z. Of equal
+    uid is a number for each row that stays the same when docs is read again. Null text counts as empty. Texts are equal when they are the same after lower-casing A-Z. Of equal
     texts the row with the largest doc_id stays, null being smallest; where rows also share the doc_id,
     exactly one of them stays. Rows with null doc_id take part and get keep_id of their group. An empty
-    table gives an empty result; other columns are ignored. uid is the row's monotonically_increasing_id.
+    table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "radix")
     text = F.encode(normalised(), "utf-8")
     first = widths[0]
     rows = (
-        docs.select("doc_id", text.alias("b"))
+        docs.select("uid", "doc_id", text.alias("b"))
         .select(
-            "doc_id", F.monotonically_increasing_id().alias("uid"), F.sha2("b", 256).alias("sha"),
+            "doc_id", "uid", F.sha2("b", 256).alias("sha"),
             F.concat(F.unhex(F.lpad(F.hex(F.length("b").cast("long")), 16, "0")), F.substring("b", 1, first)).alias("digit"),
             F.substring("b", F.lit(first + 1), F.length("b")).alias("tail"), F.lit(0).cast("long").alias("grp"),
         )

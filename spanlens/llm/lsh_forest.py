@@ -170,25 +170,24 @@ def _roots(n: int, pairs: Iterable[tuple[int, np.ndarray]]) -> list[int]:
 
 def forest_join(docs: DataFrame, **options) -> DataFrame:
     """forest_groups without uid."""
-    return forest_groups(docs, **options).drop("uid")
+    numbered = Scratch(docs.sparkSession, "numbered").numbered(docs, "doc_id", text_or_empty().alias("text"))
+    return forest_groups(numbered, **options).drop("uid")
 
 
 def forest_groups(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> DataFrame:
-    """uid, doc_id, class_id, n_links, component_id, kept for every row of docs (doc_id, text).
+    """uid, doc_id, class_id, n_links, component_id, kept for every row of docs (uid, doc_id, text).
 
-    Words are runs of letters, digits and underscores in lower case. class_id is the smallest doc_id of
+    uid is a number for each row that stays the same when docs is read again. Words are runs of letters, digits and underscores in lower case. class_id is the smallest doc_id of
     the rows with the same set of shingles, n_links the number of other rows with a similarity of at least
     `similarity` (copies in the class included), component_id the smallest doc_id reachable by links; one
     row of each component is kept: the one with that doc_id. Null, empty and wordless texts link with
     nothing, even with each other, and are kept. Rows that share a doc_id are separate rows, linked if their texts are alike; exactly one row of a
-    component is kept. A null doc_id is smaller than any other. Other columns are ignored. uid is the row's
-    monotonically_increasing_id: the table must give the same rows in the same order when it is read again,
-    as files do.
+    component is kept. A null doc_id is smaller than any other. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark, 512)
     scratch = Scratch(spark, "forest")
-    base = docs.select("doc_id", text_or_empty().alias("text")).withColumn("uid", F.monotonically_increasing_id())
+    base = docs.select("doc_id", text_or_empty().alias("text"), "uid")
     k = prefix_length(similarity, trees, depth, target)
     signed = scratch.write(signatures(base, trees, k))
     # One row stands for each class of equal shingle sets.

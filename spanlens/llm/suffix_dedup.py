@@ -180,17 +180,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
 
     kept is what is left of the text as bytes (a cut may fall inside a character), null where nothing was
     removed. Null text counts as empty. Rows that repeat a doc_id are separate documents; null doc_id passes
-    through; other columns are ignored. The table must give the same rows in the same order when it is read
-    again, as files do.
+    through; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark, batch_docs)
     scratch = Scratch(spark, "suffixes")
     n_buckets = partitions(spark)
     window = length - period + 1
-    uid = F.monotonically_increasing_id()
-    base = docs.select("doc_id", F.encode(text_or_empty(), "utf-8").alias("b"), uid.alias("uid"))
-    base = base.select(F.when(F.length("b") > long, -1 - F.col("uid")).otherwise(F.floor(F.col("uid") / batch_docs)).cast("long").alias("batch"), "uid", "doc_id", "b")
+    numbered = scratch.numbered(docs, "doc_id", F.encode(text_or_empty(), "utf-8").alias("b"))
+    base = numbered.select(F.when(F.length("b") > long, -1 - F.col("uid")).otherwise(F.floor(F.col("uid") / batch_docs)).cast("long").alias("batch"), "uid", "doc_id", "b")
 
     def sample_of(texts: list[bytes]) -> tuple[Strings, np.ndarray, np.ndarray]:
         s = Strings(texts)
@@ -261,6 +259,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
 
     rows = scratch.write(base.groupBy("batch").cogroup(first_replies.groupBy("batch")).applyInArrow(_with_rows(candidates, state), state))
     scratch.drop(first_replies)
+    scratch.drop(numbered)
     open_rows = rows.where("b IS NOT NULL")
 
     def fingerprints(texts: list[bytes], starts: list[bytes]) -> tuple[Strings, np.ndarray, np.ndarray, np.ndarray]:

@@ -24,3 +24,27 @@ def no_docs(spark):
 @pytest.fixture(scope="session")
 def documents(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture
+def shifting(spark, monkeypatch, tmp_path):
+    """Writes rows (doc_id, text) as files that are read in other splits after each written table, as when executors come and go."""
+    from spanlens.llm.common import Scratch
+
+    key, kept, written = "spark.sql.files.minPartitionNum", Scratch.write, []
+
+    def write(self, df):
+        out = kept(self, df)
+        written.append(out)
+        spark.conf.set(key, "16" if len(written) % 2 else "1")
+        return out
+
+    def files(rows):
+        path = f"file://{tmp_path}/docs"
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id").write.parquet(path)
+        spark.conf.set(key, "1")
+        monkeypatch.setattr(Scratch, "write", write)
+        return spark.read.parquet(path)
+
+    yield files
+    spark.conf.unset(key)

@@ -68,6 +68,12 @@ def test_join_equals_all_pairs(odd_docs, documents, near_docs, spark):
         assert sum(r.kept for r in got) == groups
 
 
+def test_join_survives_other_splits(near_docs, shifting):
+    docs = shifting(near_docs.collect())
+    want, _ = brute_join(docs.collect())
+    assert sorted(((r.doc_id, r.n_links, r.component_id) for r in lsh_forest.forest_join(docs).collect()), key=repr) == want
+
+
 def test_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(lsh_forest, "BLOCK_DOCS", 7)
     words = " ".join(f"w{i}" for i in range(100))

@@ -59,3 +59,14 @@ def test_stages_return_the_columns_of_documents(spark, sf, odd_docs, no_docs):
             docs = scratch.write(stage(spark, docs, sf))
             assert docs.columns == columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+
+
+def test_copies_go_in_other_splits(spark, sf, shifting):
+    """The rows that stay are those whose text has no other copy with a larger doc_id, or a smaller one for near copies."""
+    texts = [" ".join(f"w{i % 30}x{j}" for j in range(40)) for i in range(45)]
+    docs = shifting(list(enumerate(texts)))
+    for stage, want in ((corpus_pipeline.drop_copies, range(15, 45)), (corpus_pipeline.drop_near_copies, range(30))):
+        for splits in ("1", "16"):
+            kept = stage(spark, docs, sf)
+            spark.conf.set("spark.sql.files.minPartitionNum", splits)
+            assert sorted(r.doc_id for r in kept.collect()) == list(want)

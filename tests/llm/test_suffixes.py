@@ -49,5 +49,14 @@ def test_copies_on_both_sides_of_a_long_document(spark):
         assert sorted(map(tuple, got.drop("kept").collect()), key=repr) == brute(docs.collect(), 400)
 
 
+def test_removal_survives_other_splits(shifting):
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdef \n"), n))
+    shared = [word(600) for _ in range(6)]
+    docs = shifting([(i, word(300) + (shared[i % 6] if i % 3 else "") + word(200)) for i in range(40)])
+    got = suffix_dedup.remove_repeats(docs, batch_docs=3)
+    assert sorted(map(tuple, got.drop("kept").collect()), key=repr) == brute(docs.collect(), 400)
+
+
 def test_empty_table(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
