@@ -22,7 +22,7 @@ START = "▁"
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
 
-#: Labelled documents of each language that the fit reads, and distinct words of each that it keeps, the most frequent ones: its bound.
+#: Labelled texts of each language that the fit reads, and distinct words of each that it keeps, the most frequent ones: its bound.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 20_000
 ROUNDS = 2
 #: Probability of a character that the vocabulary lacks, and the count given to every piece beforehand.
@@ -112,6 +112,30 @@ class Model:
         self.pieces, self.languages, self.prior, self.p = pieces, languages, prior, p
 
 
+def expected(rows: list[list[int]], q: list[float]) -> list[tuple[int, float]]:
+    """(piece, its expected count) at each place of one word of any length. Ratios of neighbouring prefix sums stand in for
+    the sums, which would underflow."""
+    n, widest = len(rows), max(map(len, rows))
+    grown = [1.0] * (n + 1)  # prefix sum j over prefix sum j - 1
+    for j in range(1, n + 1):
+        total, ratio = 0.0, 1.0
+        for w in range(1, min(j, widest) + 1):
+            total += ratio * q[rows[j - w][w - 1]]
+            ratio /= grown[j - w]
+        grown[j] = total
+    met = [0.0] * n + [1.0]  # the chance that a cut lies at j
+    out = []
+    for j in range(n, 0, -1):
+        ratio = met[j]
+        for w in range(1, min(j, widest) + 1):
+            ratio /= grown[j - w + 1]
+            x = rows[j - w][w - 1]
+            if q[x]:
+                met[j - w] += ratio * q[x]
+                out.append((x, ratio * q[x]))
+    return out
+
+
 def fit_counts(pieces: list[str], counts: dict[str, dict[str, float]], docs: dict[str, int], rounds: int = ROUNDS) -> Model:
     """The model for {language: {word: count}}, by expectation maximisation from the counts of all substrings that are pieces."""
     lattice = Lattice(pieces)
@@ -119,11 +143,14 @@ def fit_counts(pieces: list[str], counts: dict[str, dict[str, float]], docs: dic
     p = np.zeros((lattice.n + 2, len(languages)))
     for l, language in enumerate(languages):
         words = [w for w in counts[language] if len(w) <= BATCHED]
+        long = [(lattice.of(w), n) for w, n in counts[language].items() if len(w) > BATCHED]
         weight = np.array([counts[language][w] for w in words], float)
         blocks = list(lattice.blocks(words))
         seen = np.zeros(lattice.n + 2)
         for ks, at in blocks:
             np.add.at(seen, at, np.broadcast_to(weight[ks][:, None, None], at.shape))
+        for rows, n in long:
+            np.add.at(seen, [x for row in rows for x in row], n)
         for step in range(rounds + 1):
             own = seen[: lattice.n] + PRIOR
             q = np.concatenate((own / own.sum(), [UNKNOWN, 0.0]))[:, None]
@@ -141,21 +168,32 @@ def fit_counts(pieces: list[str], counts: dict[str, dict[str, float]], docs: dic
                 for i in range(n):
                     for w in range(1, min(n - i, width) + 1):
                         np.add.at(seen, at[:, i, w - 1], weight[ks] * a[:, i] * q[at[:, i, w - 1], 0] * b[:, i + w] / a[:, n])
+            flat = q[:, 0].tolist()
+            for rows, times in long:
+                for x, share in expected(rows, flat):
+                    seen[x] += times * share
         p[:, l] = q[:, 0]
     total = sum(docs.values())
     return Model(pieces, languages, np.log(np.array([docs[x] / total for x in languages])), p)
 
 
 def fit(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model | None:
-    """A model from docs (text, lang): about sample_docs documents of each non-null language, taken by a hash of the
-    text, read whole. None where no labelled document has a word."""
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """A model from docs (text, lang): the sample_docs distinct texts of each non-null language whose hashes are the smallest,
+    of those with a letter, read whole. None where no labelled document has a word."""
+    # Most texts have a letter at their start; the rest of those is not decoded.
+    letter = F.substring("text", 1, 100).rlike(r"\p{L}") | F.col("text").rlike(r"\p{L}")
+    rows = docs.where(F.col("lang").isNotNull() & letter).select("lang", "text", F.xxhash64("text", F.lit(17)).alias("h"))
+    sizes = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).collect()}
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n))])
-    unit = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
-    sample = rows.where(unit < F.element_at(share, F.col("lang")))
+    # Four times as many hashes are looked at as are wanted, as the counts are estimates; a language of few texts is looked at whole.
+    share = F.create_map(*[F.lit(x) for k, r in sizes.items() for x in (k, min(1.0, 4 * sample_docs / max(1, r["texts"])))])
+    least = rows.where(F.col("h") / float(1 << 64) + 0.5 <= F.element_at(share, F.col("lang"))).select("lang", "h").distinct()
+    order = Window.partitionBy("lang").orderBy("h")
+    taken = least.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs)
+    last = F.create_map(*[F.lit(x) for r in taken.groupBy("lang").agg(F.max("h").alias("h")).collect() for x in (r["lang"], r["h"])])
+    # Of a text's copies one is read.
+    sample = rows.where(F.col("h") <= F.element_at(last, F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -173,7 +211,7 @@ def fit(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_words
     counts: dict[str, dict[str, float]] = defaultdict(dict)
     for r in words.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_words).collect():
         counts[r["lang"]][r["word"]] = r["n"]
-    return fit_counts(vocabulary(path), counts, {k: sizes[k] for k in counts}) if counts else None
+    return fit_counts(vocabulary(path), counts, {k: sizes[k]["n"] for k in counts}) if counts else None
 
 
 _scorers: dict[str, "Scorer"] = {}

@@ -87,6 +87,42 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(language_id.log_word(lattice.of(long), p)[0])
 
 
+def test_long_words_are_fitted():
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "aba"]
+    lattice = language_id.Lattice(pieces)
+    p = [0.1, 0.2, 0.1, 0.1, 0.2, 0.1, 0.1, 0.1, 1e-8, 0.0]
+    for word in ("▁a", "▁abab", "▁xab", "▁abaabba"):
+        rows = lattice.of(word)
+        want = dict.fromkeys(range(lattice.n + 1), 0.0)
+
+        def cut(at, chance, seen):
+            if at == len(word):
+                for x in seen:
+                    want[x] += chance
+            for w, x in enumerate(rows[at] if at < len(word) else ()):
+                if p[x]:
+                    cut(at + w + 1, chance * p[x], [*seen, x])
+
+        cut(0, 1.0, [])
+        total = brute_log(word, p, lattice.number, lattice.n + 1, lattice.n)
+        got = dict.fromkeys(want, 0.0)
+        for x, n in language_id.expected(rows, p):
+            got[x] += n
+        assert np.allclose([want[x] / total for x in want], list(got.values()))
+    model = language_id.fit_counts(pieces, {"xx": {"▁" + "ab" * 20: 5.0, "▁" + "abé" * 900: 1.0}}, {"xx": 1})
+    assert model.p[lattice.number["ab"], 0] > 5 * model.p[lattice.number["aba"], 0]
+
+
+def test_language_of_few_texts_is_learned(spark):
+    """Copies of few texts, none of which a draw by share would take, and letterless texts before them."""
+    docs = [(f"wort zahl haus baum {'abcdefgh'[k % 8]}", "de") for k in range(4000)] + [(str(k), "de") for k in range(900)]
+    docs += [(f"the house and a tree {'abcdefgh'[k % 8]}", "en") for k in range(20)]
+    model = language_id.fit(spark.createDataFrame(docs, "text string, lang string"), PIECES, sample_docs=2)
+    assert model.languages == ["de", "en"]
+    got = language_id.predict(spark.createDataFrame([("zahl haus wort",)], "text string"), model).collect()
+    assert [r.lang_pred for r in got] == ["de"]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.language_id(docs.select("doc_id", "text", "lang"), PIECES).collect()
