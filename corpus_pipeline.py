@@ -16,11 +16,12 @@ from spanlens.llm.common import Scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, null ones included, go. A null lang becomes the predicted language; all else stays as it is."""
+    """Documents without a letter, null ones included, go. A null lang becomes the predicted language, or stays null where none could be learned; all else stays as it is."""
     import public_tokenizers
 
     scored = language_id.language_id(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return scored.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    kept = scored.where("lang_pred <> 'und' OR score IS NULL")
+    return kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit("und")))).select(docs.columns)
 
 
 def kept_rows(spark: SparkSession, docs: DataFrame, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -274,8 +274,8 @@ class Scorer:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of docs with lang_pred and score, from the whole text.
 
-    lang_pred is a learned language; und with score 0 where the text is null or has no letter, or nothing
-    was learned. score is the language's posterior probability. Rows pass through one by one.
+    lang_pred is a learned language; und with score 0 where the text is null or has no letter; und with a null
+    score where it has one, but nothing was learned. score is the language's posterior probability. Rows pass through one by one.
     """
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -288,7 +288,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         if shared.value is not None and (key := str(id(shared.value))) not in _scorers:
             _scorers.clear()  # one model at a time, so a worker's memory stays bounded
             _scorers[key] = Scorer(shared.value)
-        score = _scorers[str(id(shared.value))] if shared.value is not None else lambda texts: [("und", 0.0)] * len(texts)
+        score = _scorers[str(id(shared.value))] if shared.value is not None else lambda texts: [("und", None if LETTER.search(t or "") else 0.0) for t in texts]
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = zip(*score(batch.column(at).to_pylist()))
@@ -296,7 +296,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
         return each
 
-    schema = rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = rows.withColumns({"lang_pred": F.lit(""), "score": F.lit(None).cast("double")}).schema
     return arrow_map(rows, make, schema)
 
 

@@ -3,9 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from spanlens.llm import language_id
 from spanlens.llm.common import Scratch
 from spanlens.llm.exact_dedup import LOWER, UPPER
 
@@ -70,3 +72,13 @@ def test_copies_go_in_other_splits(spark, sf, shifting):
             kept = stage(spark, docs, sf)
             spark.conf.set("spark.sql.files.minPartitionNum", splits)
             assert sorted(r.doc_id for r in kept.collect()) == list(want)
+
+
+def test_unlabelled_documents_stay(spark, sf, documents):
+    """Nothing can be learned where all lang are null, or all labelled rows are held out: only documents without a letter go."""
+    held = language_id.held_out()
+    some = documents.limit(60).unionByName(documents.limit(2).withColumns({"text": F.lit("12 !"), "doc_id": F.lit(10**6)}))
+    for docs in (some.withColumn("lang", F.lit(None).cast("string")), some.withColumn("lang", F.when(held, F.col("lang")))):
+        got = sorted((tuple(r) for r in corpus_pipeline.identify_language(spark, docs, sf).select("doc_id", "lang").collect()), key=lambda r: r[0])
+        assert [r[0] for r in got] == sorted(r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+        assert {r[0]: r[1] for r in got} == {r.doc_id: r.lang for r in docs.collect() if r.doc_id in {x[0] for x in got}}
