@@ -2,11 +2,14 @@
 
 A text is taken as its length followed by its bytes. Rows are split by the first bytes of that string,
 and groups that still hold several rows are split again by the next, wider run of bytes, until a group
-is a single row or its texts have ended. Whole bytes are compared; no digest takes part.
+is a single row or its texts have ended. Whole bytes are compared; no digest takes part. Digits are wide, as
+each round is a job: most groups are single after the first, and widths double, so the rounds number about the
+logarithm of the longest repeated text.
 
 Each round is one pre-aggregated count by (group, digit) and one equi-join that hands the new group back
 to the rows, so a group that holds a third of all rows costs a row a task in the count, and the join's
-oversized partitions are split by adaptive execution.
+oversized partitions are split by adaptive execution. Only rows that share their digit carry on the rest of
+their text. The join is a sort-merge join at every size, as groups grow with the rows.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from .common import Scratch, table, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Bytes of each digit; the last width repeats.
+#: Bytes of the first digits; from then on the width doubles.
 WIDTHS = (24, 2048, 65536)
 
 
@@ -35,7 +38,8 @@ def exact_dedup(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
 def exact_groups(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """uid, doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (uid, doc_id, text).
 
-    uid is a number for each row that stays the same when docs is read again. Null text counts as empty. Texts are equal when they are the same after lower-casing A-Z. Of equal
+    uid is a number for each row that stays the same when docs, which is read twice, is read again (see Scratch.numbered).
+    Null text counts as empty. Texts are equal when they are the same after lower-casing A-Z. Of equal
     texts the row with the largest doc_id stays, null being smallest; where rows also share the doc_id,
     exactly one of them stays. Rows with null doc_id take part and get keep_id of their group. An empty
     table gives an empty result; other columns are ignored.
@@ -52,15 +56,15 @@ def exact_groups(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame
         )
     )
     done: list[DataFrame] = []
-    level = 0
+    level, w = 0, first
     while True:
         state = scratch.write(_split(rows, scratch))
         done.append(state.where(F.length("tail") == 0).drop("tail"))
         rest = state.where(F.length("tail") > 0)
         if rest.isEmpty():
             break
-        level = min(level + 1, len(widths) - 1)
-        w = widths[level]
+        level += 1
+        w = widths[level] if level < len(widths) else 2 * w
         rows = rest.select("doc_id", "uid", "sha", F.substring("tail", 1, w).alias("digit"), F.substring("tail", F.lit(w + 1), F.length("tail")).alias("tail"), "grp")
     ended = done[0]
     for more in done[1:]:
@@ -80,7 +84,7 @@ def _split(rows: DataFrame, scratch: Scratch) -> DataFrame:
     execution can split a large group, or broadcast the groups where they are few."""
     several = rows.groupBy(F.col("grp").alias("g0"), F.col("digit").alias("d0")).agg(F.count("*").alias("n"), F.min("uid").alias("new")).where("n > 1")
     groups = scratch.write(several)
-    met = rows.join(groups, (F.col("grp") == F.col("g0")) & (F.col("digit") == F.col("d0")), "left")
+    met = rows.join(groups.hint("merge"), (F.col("grp") == F.col("g0")) & (F.col("digit") == F.col("d0")), "left")
     tail = F.when(F.col("n").isNull(), F.lit(b"")).otherwise(F.col("tail"))
     return met.select("doc_id", "uid", "sha", F.coalesce("new", "uid").alias("grp"), F.coalesce("n", F.lit(1)).alias("n"), tail.alias("tail"))
 
