@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset
-    (tests in local mode) a fresh temporary one, which is then set."""
+    and Spark is local (tests) a fresh temporary one, which is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -76,6 +80,14 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def chunked(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct blank-separated chunks of a batch's texts, the number of each chunk among them, and the edges of each
+    text's chunks. An empty text is one empty chunk; null counts as empty."""
+    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    flat = lists.flatten().dictionary_encode()
+    return flat.dictionary.to_pylist(), flat.indices.to_numpy(), lists.offsets.to_numpy()
+
+
 class Pieces(dict):
     """Memo of a function of short strings. It is emptied at `limit` entries, so its memory is bounded
     whatever the corpus holds; worker processes keep it between tasks."""

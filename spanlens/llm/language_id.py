@@ -2,8 +2,9 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the
 sum over all ways to cut it into pieces, by the forward algorithm; a text's is the product over its words,
-since no piece of the vocabulary reaches over a word's start. Probabilities are fitted by expectation
-maximisation on a bounded sample of labelled documents.
+which are runs of letters: the first one between two blanks bears the vocabulary's mark of a start, others don't.
+No piece reaches over a blank. Probabilities are fitted by expectation maximisation on a bounded sample of
+labelled documents.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, own_memory, small_batches, table
+from .common import arrow_map, chunked, own_memory, small_batches, table
 
 START = "▁"
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 LETTER = regex.compile(r"\p{L}")
 
-#: Labelled texts of each language that the fit reads, and distinct words of each that it keeps, the most frequent ones: its bound.
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 20_000
+#: Labelled texts of each language that the fit reads whole: its bound.
+SAMPLE_DOCS = 400
 ROUNDS = 2
 #: Probability of a character that the vocabulary lacks, and the count given to every piece beforehand.
 UNKNOWN, PRIOR = 1e-8, 0.05
@@ -32,7 +33,13 @@ BATCHED = 24
 
 
 def words_of(text: str) -> list[str]:
-    return [START + w for w in WORD.findall(text.lower()) if LETTER.search(w)]
+    if text.isalpha():
+        return [START + text.lower()]
+    out = []
+    for chunk in text.lower().split(" "):
+        runs = [w for w in WORD.findall(chunk) if LETTER.search(w)]
+        out += [START + w for w in runs[:1]] + runs[1:]
+    return out
 
 
 def vocabulary(path: str) -> list[str]:
@@ -46,10 +53,36 @@ def vocabulary(path: str) -> list[str]:
 class Lattice:
     """Piece numbers of all substrings of words. Number n is an unknown character, n + 1 no piece."""
 
+    BASE, SLOTS = np.uint64(0x9E3779B97F4A7C15), 18
+
     def __init__(self, pieces: list[str]):
         self.number = {p: i for i, p in enumerate(pieces)}
         self.n = len(pieces)
         self.widest = max(map(len, pieces))
+        self.tables = []  # pieces by 64-bit hash; those whose slot is taken go to the next table
+        hashes = np.zeros(self.n, np.uint64)
+        for n, ks in _by_length(pieces).items():
+            c = _characters([pieces[k] for k in ks], n)
+            for w in range(n):
+                hashes[ks] = hashes[ks] * self.BASE + c[:, w]
+        left, factor = np.arange(self.n), self.BASE
+        while len(left):
+            factor = np.uint64(int(factor) * int(self.BASE) % (1 << 64))
+            slots, first = np.unique(self._slots(hashes[left], factor), return_index=True)
+            keys, numbers = np.zeros(1 << self.SLOTS, np.uint64), np.full(1 << self.SLOTS, self.n + 1, np.int32)
+            keys[slots], numbers[slots] = hashes[left[first]], left[first]
+            self.tables.append((factor, keys, numbers))
+            left = np.delete(left, first)
+
+    def _slots(self, hashes: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return ((hashes * factor) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(hashes.shape, self.n + 1, np.int32)
+        for factor, keys, numbers in self.tables:
+            at = self._slots(hashes, factor)
+            out = np.where(keys[at] == hashes, numbers[at], out)
+        return out
 
     def of(self, word: str) -> list[list[int]]:
         get, none, n = self.number.get, self.n + 1, len(word)
@@ -61,18 +94,29 @@ class Lattice:
             rows.append(row)
         return rows
 
-    def blocks(self, words: list[str]):
-        """(numbers of the words, index array words x start x width) for each word length."""
-        by = defaultdict(list)
-        for k, w in enumerate(words):
-            by[len(w)].append(k)
-        for n, ks in by.items():
-            width = min(n, self.widest)
-            at = np.full((len(ks), n, width), self.n + 1, np.int32)
-            for row, k in enumerate(ks):
-                for i, x in enumerate(self.of(words[k])):
-                    at[row, i, : len(x)] = x
-            yield np.array(ks), at
+    def blocks(self, words: list[str], rows: int = 4096):
+        """(numbers of the words, index array words x start x width) for words of one length at a time, `rows` at most."""
+        for n, ks in _by_length(words).items():
+            for lo in range(0, len(ks), rows):
+                part = ks[lo : lo + rows]
+                c, width = _characters([words[k] for k in part], n), min(n, self.widest)
+                at = np.full((len(part), n, width), self.n + 1, np.int32)
+                h = np.zeros_like(c)
+                for w in range(width):
+                    h = h[:, : n - w] * self.BASE + c[:, w:]
+                    at[:, : n - w, w] = self.find(h)
+                at[:, :, 0][at[:, :, 0] == self.n + 1] = self.n
+                yield part, at
+
+
+def _by_length(words: list[str]) -> dict[int, np.ndarray]:
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
+
+
+def _characters(words: list[str], n: int) -> np.ndarray:
+    """Code points, plus one, of words of n characters, a row for each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
 
 
 def forward(at: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -177,9 +221,10 @@ def fit_counts(pieces: list[str], counts: dict[str, dict[str, float]], docs: dic
     return Model(pieces, languages, np.log(np.array([docs[x] / total for x in languages])), p)
 
 
-def fit(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model | None:
+def fit(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """A model from docs (text, lang): the sample_docs distinct texts of each non-null language whose hashes are the smallest,
-    of those with a letter, read whole. None where no labelled document has a word."""
+    of those with a letter, read whole. None where no labelled document has a word. Each value of lang is a class of the
+    model, which the driver and every worker hold: clean a column of many thousand values first."""
     # Most texts have a letter at their start; the rest of those is not decoded.
     letter = F.substring("text", 1, 100).rlike(r"\p{L}") | F.col("text").rlike(r"\p{L}")
     rows = docs.where(F.col("lang").isNotNull() & letter).select("lang", "text", F.xxhash64("text", F.lit(17)).alias("h"))
@@ -206,10 +251,8 @@ def fit(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_words
         return each
 
     words = arrow_map(sample, make, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # The window holds the words of one language's sample, whose size is bounded above.
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     counts: dict[str, dict[str, float]] = defaultdict(dict)
-    for r in words.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_words).collect():
+    for r in words.orderBy("lang", "word").collect():
         counts[r["lang"]][r["word"]] = r["n"]
     return fit_counts(vocabulary(path), counts, {k: sizes[k]["n"] for k in counts}) if counts else None
 
@@ -218,57 +261,65 @@ _scorers: dict[str, "Scorer"] = {}
 
 
 class Scorer:
-    """Language log probabilities of texts. Rows of `values` are sums over a chunk's words; row 0 is a chunk without a letter."""
+    """Language log probabilities of texts. Columns of `values` are sums over a chunk's words; column 0 is a chunk without a letter."""
 
     def __init__(self, model: Model, limit: int = 400_000):
         self.model, self.lattice, self.limit = model, Lattice(model.pieces), limit
         self.reset()
 
     def reset(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, int] = {}
         self.chunks: dict[str, int] = {"": 0}
-        self.values = np.zeros((1 << 14, len(self.model.languages)))
-
-    def learn(self, chunks: set[str]) -> None:
-        split = {c: words_of(c) for c in chunks}
-        new = list({w for ws in split.values() for w in ws} - self.words.keys())
+        self.filled = 1
+        self.values, self.own = (np.zeros((len(self.model.languages), 1 << 14)) for _ in range(2))
+
+    @staticmethod
+    def _room(values: np.ndarray, n: int) -> np.ndarray:
+        while n > values.shape[1]:
+            values = np.concatenate((values, np.zeros_like(values)), axis=1)
+        return values
+
+    def learn(self, chunks: list[str]) -> None:
+        split = [words_of(c) for c in chunks]
+        new = list({w for ws in split for w in ws} - self.words.keys())
+        n = len(self.words)
+        self.own = self._room(self.own, n + len(new))
         short = [w for w in new if len(w) <= BATCHED]
         for ks, at in self.lattice.blocks(short):
-            for lo in range(0, len(ks), 4096):
-                logs = np.log(forward(at[lo : lo + 4096], self.model.p)[:, -1])
-                for k, v in zip(ks[lo : lo + 4096], logs):
-                    self.words[short[k]] = v
-        for w in new:
-            if len(w) > BATCHED:
-                self.words[w] = log_word(self.lattice.of(w), self.model.p)
-        n = len(self.chunks)
-        while n + len(split) > len(self.values):
-            self.values = np.concatenate((self.values, np.zeros_like(self.values)))
-        for c, ws in split.items():
-            if ws:
-                self.values[n] = sum(self.words[w] for w in ws)
-                self.chunks[c] = n
-                n += 1
-            else:
-                self.chunks[c] = 0
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+            self.own[:, n + ks] = np.log(forward(at, self.model.p)[:, -1]).T
+        long = [w for w in new if len(w) > BATCHED]
+        for k, w in enumerate(long, n + len(short)):
+            self.own[:, k] = log_word(self.lattice.of(w), self.model.p)
+        self.words.update(zip(short + long, range(n, n + len(new))))
+        with_words = [(c, ws) for c, ws in zip(chunks, split) if ws]
+        self.chunks.update((c, 0) for c, ws in zip(chunks, split) if not ws)
+        if with_words:
+            first = self.filled
+            self.filled += len(with_words)
+            self.values = self._room(self.values, first + len(with_words))
+            flat = [self.words[w] for _, ws in with_words for w in ws]
+            sizes = np.fromiter((len(ws) for _, ws in with_words), np.int64, len(with_words))
+            self.values[:, first : first + len(with_words)] = np.add.reduceat(self.own[:, flat], np.cumsum(sizes) - sizes, axis=1)
+            self.chunks.update(zip((c for c, _ in with_words), range(first, first + len(with_words))))
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         if len(self.chunks) > self.limit:
             self.reset()
-        split = [(t or "").split(" ") for t in texts]
-        unseen = set().union(*split) - self.chunks.keys()
-        if unseen:
+        chunks, at, edges = chunked(texts)
+        if unseen := [c for c in chunks if c not in self.chunks]:
             self.learn(unseen)
-        out, get = [], self.chunks.__getitem__
-        for chunks in split:
-            at = np.fromiter(map(get, chunks), np.int64, len(chunks))
-            if not at.any():
-                out.append(("und", 0.0))
-                continue
-            logs = self.values[at].sum(0) + self.model.prior
-            best = int(logs.argmax())
-            out.append((self.model.languages[best], float(1 / np.exp(logs - logs[best]).sum())))
-        return out
+        at = np.array([self.chunks[c] for c in chunks], np.int64)[at]
+        logs = np.stack([np.add.reduceat(v[at], edges[:-1]) for v in self.values], 1) + self.model.prior
+        none = np.maximum.reduceat(at, edges[:-1]) == 0
+        best = logs.argmax(1)
+        score = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+        names = self.model.languages
+        return ["und" if x else names[k] for x, k in zip(none, best)], np.where(none, 0.0, score)
+
+
+def unlearned(texts: pa.Array) -> tuple[list[str], list[float | None]]:
+    found = [None if LETTER.search(t or "") else 0.0 for t in texts.to_pylist()]
+    return ["und"] * len(found), found
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -288,10 +339,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         if shared.value is not None and (key := str(id(shared.value))) not in _scorers:
             _scorers.clear()  # one model at a time, so a worker's memory stays bounded
             _scorers[key] = Scorer(shared.value)
-        score = _scorers[str(id(shared.value))] if shared.value is not None else lambda texts: [("und", None if LETTER.search(t or "") else 0.0) for t in texts]
+        score = _scorers[str(id(shared.value))] if shared.value is not None else unlearned
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            langs, scores = zip(*score(batch.column(at).to_pylist()))
+            langs, scores = score(batch.column(at))
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
 
         return each

@@ -87,6 +87,26 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(language_id.log_word(lattice.of(long), p)[0])
 
 
+def test_lattice_equals_lookup():
+    lattice = language_id.Lattice(language_id.vocabulary(PIECES))
+    words = ["▁haus", "▁don", "t", "▁straße", "▁中文", "▁a\u0301b", "\U0001f600x", "▁internationalisation", "s"]
+    for ks, at in lattice.blocks(words, rows=2):
+        for k, own in zip(ks, at):
+            assert [[int(x) for x in row[: len(want)]] for row, want in zip(own, lattice.of(words[k]))] == lattice.of(words[k])
+
+
+def test_predictions_equal_a_plain_predictor(spark, odd_docs, documents):
+    """Each text's words one by one, with all segmentations summed word by word."""
+    model = language_id.fit(documents, PIECES)
+    lattice = language_id.Lattice(model.pieces)
+    rows = [r.text for r in documents.limit(60).collect()] + [r.text for r in odd_docs.collect()]
+    for got in language_id.predict(spark.createDataFrame([(t,) for t in rows], "text string"), model).collect():
+        words = language_id.words_of(got.text or "")
+        logs = model.prior + sum((language_id.log_word(lattice.of(w), model.p) for w in words), np.zeros(len(model.languages)))
+        assert got.lang_pred == (model.languages[int(logs.argmax())] if words else "und")
+        assert math.isclose(got.score, 1 / np.exp(logs - logs.max()).sum() if words else 0.0, rel_tol=1e-6)
+
+
 def test_long_words_are_fitted():
     pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "aba"]
     lattice = language_id.Lattice(pieces)
