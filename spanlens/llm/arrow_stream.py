@@ -43,13 +43,12 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2,
         from pyspark import TaskContext
 
         encode = word_encoder(vocabulary)
-        end = np.array([end_id], encode.dtype).tobytes()
         writer = None
         for batch in batches:
             if writer is None:
                 shard = TaskContext.get().partitionId()
                 writer = ShardWriter(f"{folder}/{shard:06d}-{uuid.uuid4().hex}", encode.dtype, length)
-            writer.add(batch.column(0).to_pylist(), [encode(x) + end for x in batch.column(1).to_pylist()])
+            writer.add(batch.column(0).to_pylist(), [x.tobytes() for x in encode(batch.column(1), end_id)])
         if writer is not None:
             ids, index = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([ids]), pa.array([index]), pa.array([writer.n_ids]), pa.array([writer.n_docs])], ["shard", "ids_path", "index_path", "n_ids", "n_docs"])

@@ -33,12 +33,11 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFra
 
     def make():
         encode = word_encoder(vocabulary)
-        end = np.array([end_id], encode.dtype).tobytes()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(encode(text) + end, encode.dtype).astype("<u4")
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode(batch.column(1), end_id)):
+                ids = own.astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))

@@ -6,9 +6,12 @@ its blank-separated chunks. Each distinct chunk goes through the library once in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 
-from .common import Pieces, own_memory, quiet_tokenizers
+from .common import Pieces, chunked, own_memory, quiet_tokenizers
 
 _encoders: dict[str, "WordIds"] = {}
 
@@ -22,7 +25,7 @@ def word_encoder(path: str) -> "WordIds":
 
 
 class WordIds:
-    """Callable: text to bytes of ids (little endian, `dtype`)."""
+    """Callable: texts to their ids (little endian, `dtype`), each with the given end id after them."""
 
     def __init__(self, path: str):
         quiet_tokenizers()
@@ -53,6 +56,15 @@ class WordIds:
             return self.words[chunk]
         return self.words[chunk if chunk.isascii() and "<|" in chunk else chunk.lower()]
 
-    def __call__(self, text: str) -> bytes:
-        chunks = self.chunks
-        return b"".join([chunks[x] for x in text.split(" ")])
+    def __call__(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        chunks, at, edges = chunked(texts)
+        parts = [self.chunks[x] for x in chunks]
+        flat = np.frombuffer(b"".join(parts), self.dtype)
+        sizes = np.array([len(x) for x in parts], np.int64) // self.dtype.itemsize
+        own = sizes[at]
+        ends = np.cumsum(own)
+        first = (np.cumsum(sizes) - sizes)[at] - (ends - own)
+        ids = flat[np.repeat(first, own) + np.arange(len(first) and ends[-1])]
+        ends = np.concatenate(([0], ends))[edges]
+        for i, j in zip(ends, ends[1:]):
+            yield np.append(ids[i:j], self.dtype.type(end_id))
