@@ -38,9 +38,9 @@ LENGTH = 400
 PERIOD, COVER = 273, (0, 1, 3, 7, 15, 31, 63, 90, 116, 127, 136, 181, 194, 204, 233, 238, 255)
 DENSE_PERIOD, DENSE_COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
 #: Bytes of documents in a batch, a longer one being a batch of its own; bytes of documents for each bucket of samples; bytes of segments in a bucket, on average.
-BATCH_BYTES, SAMPLE_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20, 2 << 20
+BATCH_BYTES, SAMPLE_BYTES, BUCKET_BYTES = 1_000_000, 32_000_000, 1_000_000
 #: Suffixes of a block, and starts of a segment at most.
-BLOCK, LONGEST = 1 << 19, 4096
+BLOCK, LONGEST = 1 << 18, 4096
 
 _BYTES = [mixed(np.arange(256, dtype=np.uint64) + np.uint64(k)) for k in (1 << 20, 1 << 21)]
 _BASE = [0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95]
@@ -102,7 +102,7 @@ def buckets_of(values: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, np
 SENT = "bucket long, owners binary, counts binary, data binary"
 REPLY = "batch long, bucket long, data binary, uid long, first boolean"
 #: Fingerprints and bytes of segments that a task holds before it sends them.
-HELD, HELD_BYTES = 2_000_000, 32 << 20
+HELD, HELD_BYTES = 2_000_000, 16_000_000
 
 
 def sent(found: Iterable[tuple[int, Iterable[tuple[int, np.ndarray]]]]) -> Iterator[pa.RecordBatch]:
@@ -256,10 +256,8 @@ class Bucket:
     def __init__(self, segments: list[bytes], length: int, period: int = DENSE_PERIOD, cover: tuple[int, ...] = DENSE_COVER):
         self.s, self.length, self.period = Strings(segments), length, period
         n = len(self.s.data)
-        padded = np.append(self.s.data, np.zeros(8, np.uint8))
-        self.words = np.zeros(n, np.uint64)
-        for k in range(8):
-            self.words |= padded[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
+        padded = np.append(self.s.data, np.zeros(7, np.uint8))
+        self.words = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").ravel().astype(np.uint64) if n else np.zeros(0, np.uint64)
         inside = np.isin(np.arange(period), cover)
         self.window = length - period + 1
         room = np.stack((self.s.starts[:-1], np.maximum(self.s.starts[1:] - self.window + 1, self.s.starts[:-1])), 1)
