@@ -1,48 +1,48 @@
 """Similarity join on word shingles: a MinHash LSH forest, then exact verification.
 
 A document's shingles are its runs of five words (all its words, if it has fewer). Each of the forest's
-trees orders documents by a label of several MinHashes; two documents meet in a tree if their labels share
-a prefix. The prefix starts at the label's full length and is shortened until the chance that two documents
-of just the wanted similarity meet in no tree falls below one minus the target recall. Documents that meet
-are linked to one document of their bucket, never pair by pair; the components of those links are cut into
-blocks of documents of like size, and every pair of blocks that sizes allow is verified in a task of its own,
-where pairs that met in no tree are left out and the rest are compared shingle by shingle. A task emits a
-count of links for each document and a spanning forest of its links, so output grows with documents.
-Texts with the same shingles are one class, verified once and counted with its size.
+trees is a prefix trie of labels, a label being DEPTH MinHashes; a node is a prefix, and documents meet in the
+nodes they share. A document's search starts at full labels and shortens the prefix until the chance to
+meet a link of the least similarity that its number of shingles allows reaches the target recall: short texts
+stop early, as with few shingles only high similarities are possible, and some can have no link at all. A round for
+each depth takes the documents that end there, and those longer ones that they could be linked with.
+
+Two documents that meet in several trees are compared in the first of them only. A node's members are compared by
+their whole labels first, whose share of equal MinHashes estimates the similarity; texts are moved only to the nodes
+where a document has a likely link, and compared shingle by shingle there. Members of a large node are dealt to
+blocks, each pair of blocks being a unit of its own. A unit gives a count of links for each document and a spanning
+forest of its links, so output grows with documents and not with pairs. Texts with the same shingles are one class,
+verified once and counted with its size.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Pieces, Scratch, arrow_map, own_memory, small_batches, table, text_or_empty
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
-TREES, DEPTH = 24, 6
-TARGET_RECALL = 0.99999
-#: Shingles in a block: two blocks are what a verifying task holds.
-BLOCK_SHINGLES = 300_000
-BLOCK_DOCS = 100
+TREES, DEPTH = 20, 6
+TARGET_RECALL = 0.9999
+#: How far the labels' estimate may lie below the wanted similarity: over five standard deviations.
+MARGIN = 0.2
+#: Members of a node's block, and members that a task is given at once, on average.
+BLOCK_DOCS, GROUP_DOCS = 256, 4096
+#: Numbers of shingles whose possible similarities are looked at one by one; above, any is possible.
+COUNTED = 64
 
 _TOKEN = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def prefix_length(similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """The longest label prefix that reaches the target recall at the given similarity."""
-    for k in range(depth, 0, -1):
-        if 1 - (1 - similarity**k) ** trees >= target:
-            return k
-    return 1
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result depends on every bit of x."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -94,40 +94,69 @@ def seeds(count: int) -> np.ndarray:
     return mixed(np.arange(1, count + 1, dtype=np.uint64) * _ODD)
 
 
-def labels(s: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The label prefixes' digests, one for each tree, from `depth` MinHashes each. A MinHash is the least 32-bit
-    multiply-shift value of the shingles."""
-    a = seeds(2 * trees * depth)
+def least_similarity(n: int, similarity: float) -> float | None:
+    """The least similarity of `similarity` or more that a set of n shingles can have with another set; None if there is none."""
+    best = None
+    for lost in range(math.floor(n * (1 - similarity) + 1e-9) + 1):
+        more = math.floor((n - lost) / similarity - n + 1e-9)
+        if more >= 0 and lost + more:
+            now = (n - lost) / (n + more)
+            best = now if best is None else min(best, now)
+    return best
+
+
+def prefix_length(similarity: float, trees: int, depth: int, target: float) -> int:
+    """The longest label prefix that reaches the target recall at the given similarity."""
+    for k in range(depth, 1, -1):
+        if 1 - (1 - similarity**k) ** trees >= target:
+            return k
+    return 1
+
+
+def search_depths(similarity: float, trees: int, depth: int, target: float, counted: int = COUNTED) -> tuple[list[int], list[list[int]]]:
+    """For each number of shingles up to `counted`, which stands for all larger ones: the depth at which its search ends, 0 for no
+    search, and the rounds that it takes part in: its own, and deeper ones that end for texts it could be linked with."""
+    own = []
+    for n in range(counted + 1):
+        s = similarity if n == counted else least_similarity(n, similarity) if n else None
+        own.append(prefix_length(s, trees, depth, target) if s else 0)
+    rounds = []
+    for n, k in enumerate(own):
+        near = {own[min(m, counted)] for m in range(math.ceil(n * similarity - 1e-9), math.floor(n / similarity + 1e-9) + 1)}
+        rounds.append(sorted({k, *(x for x in near if x > k)}) if k else [])
+    return own, rounds
+
+
+def labels(s: np.ndarray, count: int) -> bytes:
+    """`count` MinHashes as big-endian 32-bit numbers. A MinHash is the least 32-bit multiply-shift value of the shingles."""
+    a = seeds(2 * count)
     times, plus = (a[0::2] | np.uint64(1))[:, None], a[1::2][:, None]
-    least = np.full(trees * depth, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 1024):
         np.minimum(least, (s[None, i : i + 1024] * times + plus).min(1), out=least)
-    least >>= np.uint64(32)
-    out = np.arange(trees, dtype=np.uint64) * _ODD
-    for d in range(depth):
-        out = mixed(out + least[d::depth] + _ODD)
-    return out.astype(np.int64)
+    return (least >> np.uint64(32)).astype(">u4").tobytes()
 
 
-def signatures(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """uid, doc_id, n (shingles), class_key (a digest of the shingle set) and keys (a digest of each tree's label prefix)."""
+def signatures(docs: DataFrame, count: int) -> DataFrame:
+    """uid, doc_id, n (shingles), one and two (128 bits of the shingle set) and label (MinHashes, tree by tree)."""
 
     def make():
         own_memory("lsh_forest", _single.clear)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, classes, keys = [], [], []
+            n, one, two, label = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 n.append(len(s))
-                classes.append(int(mixed(np.bitwise_xor.reduce(mixed(s + _ODD), keepdims=True) + s.sum(keepdims=True))[0].astype(np.int64)) if len(s) else None)
-                keys.append(labels(s, trees, depth).tolist() if len(s) else None)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["uid", "doc_id", "n", "class_key", "keys"])
+                one.append(int(mixed(s + _ODD).sum().astype(np.int64)) if len(s) else None)
+                two.append(int(mixed(s ^ _ODD).sum().astype(np.int64)) if len(s) else None)
+                label.append(labels(s, count) if len(s) else None)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(label, pa.binary())], ["uid", "doc_id", "n", "one", "two", "label"])
 
         return each
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("uid", "text", "doc_id"), make, f"uid long, doc_id {kind}, n long, class_key long, keys array<long>")
+    return arrow_map(docs.select("uid", "text", "doc_id"), make, f"uid long, doc_id {kind}, n long, one long, two long, label binary")
 
 
 def verify(a: list[np.ndarray], b: list[np.ndarray], met: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -188,27 +217,19 @@ def forest_groups(docs: DataFrame, similarity: float = SIMILARITY, trees: int =
     small_batches(spark, 512)
     scratch = Scratch(spark, "forest")
     base = docs.select("doc_id", text_or_empty().alias("text"), "uid")
-    k = prefix_length(similarity, trees, depth, target)
-    signed = scratch.write(signatures(base, trees, k))
+    signed = scratch.write(signatures(base, trees * depth))
     # One row stands for each class of equal shingle sets.
-    classes = scratch.write(signed.where("class_key IS NOT NULL").groupBy("class_key", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
-    entries = classes.select("rep", F.explode("keys").alias("key"))
-    # Both sides of joins on keys that many rows share are written tables: their own exchanges can be split.
-    buckets = scratch.write(entries.groupBy(F.col("key").alias("k")).agg(F.min("rep").alias("v"), F.count("*").alias("m")).where("m > 1").select("k", "v"))
-    met = entries.join(buckets, F.col("key") == F.col("k")).where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
-    groups = components(met, scratch)
-    # Blocks of like size inside each group of candidates; a block is as many documents as a task can hold.
-    members = scratch.write(groups.join(classes, F.col("node") == F.col("rep")).select("root", "rep", "n", "copies", "keys"))
-    blocks = blocked(members)
-    links = scratch.write(_verified(blocks, base, scratch, similarity))
+    classes = scratch.write(signed.where("n > 0").groupBy("one", "two", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label")))
+    units = scratch.write(_likely(_units(classes, scratch, similarity, trees, depth, target), classes, similarity, trees, depth))
+    links = scratch.write(_verified(units, base, similarity, trees, depth))
     direct = links.where("kind = 0").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("others"))
     roots = components(links.where("kind = 1").select("u", "v"), scratch).select(F.col("node").alias("rep"), F.col("root").alias("top"))
     per_class = scratch.write(
-        classes.select("class_key", "n", "rep", "copies").join(direct, "rep", "left").join(roots, "rep", "left")
-        .select(F.col("class_key").alias("ck"), F.col("n").alias("cn"), "rep", F.coalesce("top", "rep").alias("top"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        classes.select("one", "two", "n", "rep", "copies").join(direct, "rep", "left").join(roots, "rep", "left")
+        .select(F.col("one").alias("c1"), F.col("two").alias("c2"), F.col("n").alias("cn"), "rep", F.coalesce("top", "rep").alias("top"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     )
     rows = scratch.write(
-        signed.select("uid", "doc_id", "class_key", "n").join(per_class, (F.col("class_key") == F.col("ck")) & (F.col("n") == F.col("cn")), "left")
+        signed.select("uid", "doc_id", "one", "two", "n").join(per_class, (F.col("one") == F.col("c1")) & (F.col("two") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")
         .select("uid", "doc_id", F.coalesce("rep", "uid").alias("rep"), F.coalesce("top", "uid").alias("top"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
     by_class = rows.groupBy("rep").agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.first("top").alias("top"))
@@ -217,62 +238,108 @@ def forest_groups(docs: DataFrame, similarity: float = SIMILARITY, trees: int =
     return rows.join(named, F.col("rep") == F.col("r")).select("uid", "doc_id", "class_id", "n_links", F.col("least.doc_id").alias("component_id"), (F.col("least.uid") == F.col("uid")).alias("kept"))
 
 
-def blocked(members: DataFrame) -> DataFrame:
-    """members with block: runs of at most BLOCK_DOCS documents or BLOCK_SHINGLES shingles of a group, in the order of
-    size. Sizes are first counted by group and size step, so that no task sorts a whole large group."""
-    step = F.floor(F.log(F.col("n").cast("double")) / np.log(1.05)).cast("int")
-    spread = members.withColumn("step", step).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(16)).cast("int"))
-    weight = F.greatest(F.col("n") / BLOCK_SHINGLES, F.lit(1.0 / BLOCK_DOCS))
-    sums = spread.groupBy("root", "step", "salt").agg(F.sum(weight).alias("w"))
-    before = sums.select("root", "step", "salt", (F.sum("w").over(Window.partitionBy("root").orderBy("step", "salt")) - F.col("w")).alias("before"))
-    inside = F.sum(weight).over(Window.partitionBy("root", "step", "salt").orderBy("rep")) - weight
-    return spread.withColumn("inside", inside).join(before, ["root", "step", "salt"]).withColumn("block", F.floor(F.col("before") + F.col("inside")).cast("int")).drop("step", "salt", "before", "inside")
-
-
-def _verified(blocks: DataFrame, base: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
-    """kind 0: u, links of u's class found in a task; kind 1: an edge u, v of a spanning forest of a task's links."""
-    blocks = scratch.write(blocks)
-    extent = scratch.write(blocks.groupBy("root", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi")))
-    other = extent.select(F.col("root").alias("r2"), F.col("block").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    near = (F.col("root") == F.col("r2")) & (F.col("block") <= F.col("b2")) & (F.col("lo2") * similarity <= F.col("hi") + 1e-9) & (F.col("lo") * similarity <= F.col("hi2") + 1e-9)
-    tasks = extent.join(other, near).select("root", F.col("block").alias("b1"), "b2")
-    sides = tasks.select("root", F.col("b1").alias("block"), "b1", "b2").unionByName(tasks.where("b1 <> b2").select("root", F.col("b2").alias("block"), "b1", "b2"))
-    active = blocks.join(sides, ["root", "block"]).select(F.col("rep").alias("uid"), "root", "block", "b1", "b2", "copies", "keys")
-    jobs = active.groupBy("uid").agg(F.first("root").alias("root"), F.first("block").alias("block"), F.first("copies").alias("copies"), F.first("keys").alias("keys"), F.collect_list(F.struct("b1", "b2")).alias("tasks"))
-    texts = base.select("uid", "text").join(jobs, "uid").select("uid", "text", "copies", "keys", "root", "block", F.explode("tasks").alias("task"))
-    dealt = texts.select("uid", "text", "copies", "keys", "block", "root", "task.b1", "task.b2")
-
-    def run(keys: tuple, group: pa.Table) -> pa.Table:
+def _units(classes: DataFrame, scratch: Scratch, similarity: float, trees: int, depth: int, target: float) -> DataFrame:
+    """rep, k, own, tree, unit, left, right: the members of every pair of blocks of every node with several members."""
+    own, rounds = search_depths(similarity, trees, depth, target)
+    at = F.least("n", F.lit(len(own) - 1)).cast("int") + 1
+    of = lambda lists: F.element_at(F.array(*lists), at)
+    searched = classes.select("rep", "label", of([F.lit(k) for k in own]).alias("own"), F.explode(of([F.array(*map(F.lit, ks)).cast("array<int>") for ks in rounds])).alias("k"))
+    tree = searched.select("rep", "own", "k", "label", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    prefix = F.substring("label", F.col("tree") * (4 * depth) + 1, 4 * F.col("k"))
+    entries = tree.select("rep", "own", "k", "tree", F.concat(F.encode(F.concat_ws(":", "tree", "k", F.lit("")), "utf-8"), prefix).alias("node"))
+    nodes = scratch.write(entries.groupBy(F.col("node").alias("at")).agg(F.count("*").alias("m")).where("m > 1"))
+    met = entries.join(nodes.hint("merge"), F.col("node") == F.col("at"))
+    n_blocks = F.ceil(F.col("m") / BLOCK_DOCS).cast("int")
+    dealt = met.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+    return scratch.write(paired.select("rep", "own", "k", "tree", unit.alias("unit"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right")))
+
+
+def _met(unit: pa.Table, similarity: float, trees: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the left and the right members of a unit and the pairs to be compared here: those whose search ends at this depth,
+    that meet in this tree and in no earlier one, and that sizes and labels don't rule out."""
+    left, right = (np.flatnonzero(unit[c].to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+    label = np.frombuffer(b"".join(unit["label"].to_pylist()), ">u4").astype(np.uint32).reshape(len(unit), trees, depth)
+    n, own, rep = unit["n"].to_numpy(), unit["own"].to_numpy(), unit["rep"].to_numpy()
+    k, tree = unit["k"][0].as_py(), unit["tree"][0].as_py()
+    out = np.zeros((len(left), len(right)), bool)
+    step = max(1, (4 << 20) // max(1, len(right) * trees * depth))
+    for i in range(0, len(left), step):
+        a = left[i : i + step]
+        same = label[a][:, None] == label[right][None]
+        meet = same[..., :k].all(3)
+        first = meet[:, :, tree] & ~meet[:, :, :tree].any(2)
+        fits = np.minimum(n[a][:, None], n[right]) >= similarity * np.maximum(n[a][:, None], n[right]) - 1e-9
+        ends = np.maximum(own[a][:, None], own[right]) == k
+        twice = np.isin(a, right)[:, None] & np.isin(right, left)[None] & (rep[a][:, None] >= rep[right])  # inside one block a pair counts once
+        out[i : i + step] = first & fits & ends & ~twice & (same.mean((2, 3)) >= similarity - MARGIN) & (rep[a][:, None] != rep[right])
+    return left, right, out
+
+
+def _by_unit(group: pa.Table) -> Iterator[pa.Table]:
+    group = group.sort_by([("unit", "ascending"), ("rep", "ascending")])
+    unit = group["unit"].to_numpy()
+    edges = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+    for i, j in zip(edges, edges[1:]):
+        if j - i > 1:
+            yield group.slice(i, j - i).combine_chunks()
+
+
+def _grouped(rows: DataFrame, count: int) -> DataFrame:
+    return rows.withColumn("task", F.pmod("unit", F.lit(max(1, -(-count // GROUP_DOCS)))).cast("int"))
+
+
+def _likely(units: DataFrame, classes: DataFrame, similarity: float, trees: int, depth: int) -> DataFrame:
+    """The members of units that have a likely link there, with their classes' columns."""
+    full = units.join(classes.select(F.col("rep").alias("r"), "n", "copies", "label"), F.col("rep") == F.col("r")).drop("r")
+    names = ["unit", "rep", "own", "k", "tree", "left", "right", "n", "copies", "label"]
+
+    def run(group: pa.Table) -> pa.Table:
+        kept = []
+        for unit in _by_unit(group.select(names)):
+            left, right, met = _met(unit, similarity, trees, depth)
+            if met.any():
+                some = np.zeros(len(unit), bool)
+                some[left[met.any(1)]] = some[right[met.any(0)]] = True
+                kept.append(unit.filter(pa.array(some)))
+        return pa.concat_tables(kept) if kept else group.select(names).slice(0, 0)
+
+    schema = full.select(*names).schema
+    return _grouped(full, units.count()).groupBy("task").applyInArrow(run, schema)
+
+
+def _verified(units: DataFrame, base: DataFrame, similarity: float, trees: int, depth: int) -> DataFrame:
+    """kind 0: u, links of u's class found in a unit; kind 1: an edge u, v of a spanning forest of a unit's links."""
+    full = units.join(base.select("uid", "text"), F.col("rep") == F.col("uid")).drop("uid")
+
+    def run(group: pa.Table) -> pa.Table:
         own_memory("lsh_forest", _single.clear)
-        b1, b2 = keys[1].as_py(), keys[2].as_py()
-        block = group["block"].to_numpy()
-        order = np.argsort(block, kind="stable")
-        uid, copies = group["uid"].to_numpy()[order], group["copies"].to_numpy()[order]
-        m = int((block == b1).sum())
-        texts = group["text"].to_pylist()
-        sets = [shingles(texts[i]) for i in order]
-        labels_of = np.array(group["keys"].to_pylist(), np.int64)[order]
-        left, right = slice(0, m), slice(0 if b1 == b2 else m, None)
-        met = np.zeros((m, len(uid) - right.start), bool)
-        for t in range(labels_of.shape[1]):
-            met |= labels_of[left, t][:, None] == labels_of[right, t][None, :]
-        if b1 == b2:
-            met &= np.triu(np.ones_like(met), 1)
-        count, found = np.zeros(len(uid), np.int64), []
-        for i, js in verify(sets[left], sets[right], met, similarity) if met.any() else ():
-            js = js + right.start
-            count[i] += copies[js].sum()
-            count[js] += copies[i]
-            found.append((i, js))
-        root = _roots(len(uid), found)
-        linked = np.flatnonzero(count)
-        edges = [(uid[x], uid[root[x]]) for x in linked if root[x] != x]
-        u = [*uid[linked], *[e[0] for e in edges]]
-        v = [*count[linked], *[e[1] for e in edges]]
-        kind = [0] * len(linked) + [1] * len(edges)
+        u, v, kind = [], [], []
+        sets: dict[int, np.ndarray] = {}
+        for unit in _by_unit(group):
+            left, right, met = _met(unit, similarity, trees, depth)
+            if not met.any():
+                continue
+            rep, copies, text = unit["rep"].to_numpy(), unit["copies"].to_numpy(), unit["text"]
+            for i in range(len(rep)):
+                if rep[i] not in sets:
+                    sets[rep[i]] = shingles(text[i].as_py())
+            count, found = np.zeros(len(rep), np.int64), []
+            for i, js in verify([sets[x] for x in rep[left]], [sets[x] for x in rep[right]], met, similarity):
+                i, js = left[i], right[js]
+                count[i] += copies[js].sum()
+                count[js] += copies[i]
+                found.append((i, js))
+            root = _roots(len(rep), found)
+            linked = np.flatnonzero(count)
+            edges = [(rep[x], rep[root[x]]) for x in linked if root[x] != x]
+            u += [*rep[linked], *[e[0] for e in edges]]
+            v += [*count[linked], *[e[1] for e in edges]]
+            kind += [0] * len(linked) + [1] * len(edges)
         return pa.table({"kind": pa.array(kind, pa.int32()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return dealt.groupBy("root", "b1", "b2").applyInArrow(run, "kind int, u long, v long")
+    return _grouped(full, units.count()).groupBy("task").applyInArrow(run, "kind int, u long, v long")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

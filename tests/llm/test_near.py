@@ -82,6 +82,42 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert got[100].n_links == 0 and all(got[i].n_links == 59 and got[i].component_id == 0 for i in range(60))
 
 
+def test_search_depths():
+    """The least similarity of a number of shingles by trying all, and the rounds that let two linkable texts meet at the deeper of their depths."""
+    for n in range(1, 30):
+        possible = [c / (n + m - c) for m in range(1, 60) for c in range(1, min(n, m) + 1) if (c, m) != (n, n) and c / (n + m - c) >= 0.8 - 1e-12]
+        assert lsh_forest.least_similarity(n, 0.8) == (min(possible) if possible else None)
+    own, rounds = lsh_forest.search_depths(0.8, 20, 6, 0.9999)
+    assert own[0] == own[3] == 0 and own[-1] == 4 and max(own) <= 6
+    for n, k in enumerate(own):
+        assert not k or 1 - (1 - lsh_forest.least_similarity(n, 0.8) ** k) ** 20 >= 0.9999
+        for m in range(n, min(len(own) - 1, int(n / 0.8)) + 1):
+            if n and k and own[m]:
+                assert max(k, own[m]) in rounds[n] and max(k, own[m]) in rounds[m]
+
+
+def test_recall_on_a_larger_table(spark):
+    """Links of every tenth row of sf0.1 against all rows, exactly."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.n_links for r in lsh_forest.forest_join(docs).collect()}
+    rows = docs.collect()
+    sets = {r.doc_id: lsh_forest.shingles(r.text or "") for r in rows}
+    holders = {}
+    for i, s in sets.items():
+        for x in s.tolist():
+            holders.setdefault(x, []).append(i)
+    found = wanted = 0
+    for q in (i for i in sets if i % 10 == 0 and len(sets[i])):
+        common = {}
+        for x in sets[q].tolist():
+            for i in holders[x]:
+                common[i] = common.get(i, 0) + 1
+        n = sum(c >= 0.8 * (len(sets[q]) + len(sets[i]) - c) - 1e-9 for i, c in common.items() if i != q)
+        found, wanted = found + min(n, got[q]), wanted + n
+        assert got[q] <= n
+    assert wanted > 100 and found >= 0.999 * wanted
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=15))
 def test_components_property(spark, links):
