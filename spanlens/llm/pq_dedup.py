@@ -1,22 +1,30 @@
 """Near-duplicate vectors: coarse inverted lists, product-quantised residuals, exact rerank.
 
-Coarse centroids and the codebooks of residual subspaces are fitted on a bounded sample; every row is
-indexed. A vector is asked against its own list and against each list whose cell comes within the search
-radius of it: a cell lies behind the bisecting plane between the two centroids, so a larger distance to that
-plane proves that the list holds no partner. Inside a list the asymmetric distance, summed from lookup
-tables, is off by at most the stored residual error of the member, so a pair whose distance minus that error
-exceeds the radius is no link; what is left is compared by exact cosine. Both bounds are safe: no link is lost.
-
-A list is split into blocks of members and blocks of queries, each pair of blocks in a task of its own,
-which emits link counts and a spanning forest of its links, never the pairs.
+Equal vectors of a label are one class. Coarse centroids and the codebooks of residual subspaces are fitted on a
+bounded sample of classes, once for each dimension; every class is indexed. Lists number the square root of the
+classes, as far as the sample can fit them.
+
+A class is a query in its own list, and its codes, a few bytes, go to its own list and to each list of a lower
+number that it probes. A cell lies behind the bisecting plane between two centroids, so a partner within the
+search radius lies in another list only if that plane is within the radius, too; in many dimensions a difference has
+little of its length along any one direction, so the probes reach SIGMAS times the radius over the root of the
+dimension, never over the radius itself. Up to 16 dimensions that loses nothing; above, a pair at the threshold
+is lost with a chance below one in ten thousand for each direction, and pairs of a cosine of about 0.98 never.
+
+In a list, distances are summed from lookup tables of a query's products with the codewords. They are off by at
+most the stored residual error of the member, so nothing is lost there. Members with a likely link have their vectors
+fetched, and are compared with the list's queries by exact cosine. A list is split into blocks of queries and of
+members, and a pair of blocks emits link counts and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +33,11 @@ from .components import components
 from .lsh_forest import _roots
 
 COSINE = 0.93
-#: Bound of the sample that the fit reads, and of the lists; components of a subspace; codes of a codebook; rows of a block.
-SAMPLE, LISTS, SUBSPACE, CODES = 20_000, 64, 8, 256
-BLOCK_MEMBERS, BLOCK_QUERIES = 128, 128
+#: Bound of the sample that the fit reads for a dimension, and sampled rows that a list wants; components of a subspace; codes of a codebook.
+SAMPLE, LIST_ROWS, SUBSPACE, CODES = 20_000, 16, 8, 256
+SIGMAS = 4.0
+#: Queries and members of a block; rows that a task is given at once, on average.
+BLOCK_QUERIES, BLOCK_MEMBERS, GROUP_ROWS = 512, 4096, 8192
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -35,10 +45,9 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         near = nearest(x, c)
-        for j in range(k):
-            own = x[near == j]
-            if len(own):
-                c[j] = own.mean(0)
+        order = np.argsort(near, kind="stable")
+        used, first, n = np.unique(near[order], return_index=True, return_counts=True)
+        c[used] = np.add.reduceat(x[order], first) / n[:, None]
     return c
 
 
@@ -57,28 +66,27 @@ class Quantiser:
         residuals = x - self.centroids[nearest(x, self.centroids)]
         self.books = [k_means(residuals[:, s], CODES, 6, rng) for s in self.slices]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """list, codes and residual error of unit vectors."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """list, codes, residual error and squared length of what list and codes stand for, of unit vectors."""
         at = nearest(x, self.centroids)
         r = x - self.centroids[at]
         codes = np.stack([nearest(r[:, s], b) for s, b in zip(self.slices, self.books)], 1)
         back = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
-        return at, codes.astype(np.uint8), np.linalg.norm(r - back, axis=1)
+        return at, codes.astype(np.uint8), np.linalg.norm(r - back, axis=1), ((self.centroids[at] + back) ** 2).sum(1)
 
-    def probes(self, x: np.ndarray, at: np.ndarray, radius: float) -> np.ndarray:
-        """Whether a list can hold a vector within the radius, rows x lists."""
+    def probes(self, x: np.ndarray, at: np.ndarray, reach: float) -> np.ndarray:
+        """Whether a list's cell comes within the reach, rows x lists."""
         c = self.centroids
         d2 = (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T
-        apart = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 1e-30))
-        return (d2 - d2[np.arange(len(x)), at][:, None]) / (2 * apart[at]) <= radius + 1e-9
+        apart = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * c @ c.T, 1e-30))
+        return (d2 - d2[np.arange(len(x)), at][:, None]) / (2 * apart[at]) <= reach + 1e-9
 
-    def tables(self, x: np.ndarray, number: int) -> np.ndarray:
-        """Squared distances of the query residuals to all codes: queries x subspaces x codes."""
-        r = x - self.centroids[number]
-        out = np.full((len(x), len(self.books), CODES), np.inf)
+    def distances(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Of unit vectors to what lists and codes stand for, queries x members: by a table of each query's products with all codewords."""
+        products = (x @ self.centroids.T)[:, lists]
         for m, (s, b) in enumerate(zip(self.slices, self.books)):
-            out[:, m, : len(b)] = ((r[:, None, s] - b[None]) ** 2).sum(2)
-        return out
+            products += (x[:, s] @ b.T)[:, codes[:, m]]
+        return np.sqrt(np.maximum(1 + length[None, :] - 2 * products, 0))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -86,6 +94,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def stacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of an array column whose arrays have one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """uid, label and embedding (doubles) of the rows that can link."""
     e = F.col("embedding")
@@ -93,95 +107,140 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where("label IS NOT NULL AND embedding IS NOT NULL").select("uid", "label", F.col("embedding").cast("array<double>").alias("embedding")).where(fine)
 
 
-def vector_links(vectors: DataFrame, cosine: float = COSINE, lists: int = LISTS, sample: int = SAMPLE) -> DataFrame:
+def fitted(classes: DataFrame, sample: int) -> dict[int, Quantiser]:
+    """A quantiser for each dimension, from some `sample` of its classes, the ones with the least hashes: what exceeds the share stays with the executors."""
+    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
+    if not sizes:
+        return {}
+    share = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, min(1.0, sample / n))])
+    drawn = classes.where(F.xxhash64("rep") / float(1 << 64) + 0.5 <= F.element_at(share, F.col("dim"))).select("dim", "rep", "embedding").toArrow().sort_by("rep")
+    out = {}
+    for d, n in sizes.items():
+        own = drawn.filter(pc.equal(drawn["dim"], d))
+        x = unit(stacked(own["embedding"])) if len(own) else np.ones((1, d)) / math.sqrt(d)
+        out[d] = Quantiser(x, max(1, min(math.ceil(math.sqrt(n)), len(x) // LIST_ROWS)))
+    return out
+
+
+def vector_links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label).
 
-    Rows link if their labels are equal and not null and their cosine, in double precision, is at least
-    `cosine`. Vectors that are null, empty, zero or hold null or non-finite components, and those whose
-    dimension is not the table's most common one, link with nothing. component_id is the smallest vec_id
-    reachable; kept tells whether it is the row's own. Rows that repeat a vec_id are rows of their own; a null
-    vec_id is never a component_id unless all of the component are null, and is not kept. Other columns are
-    ignored.
+    Rows link if their labels are equal and not null, their dimensions are equal and their cosine, in double precision,
+    is at least `cosine`. Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
+    component_id is the smallest vec_id reachable; kept tells whether it is the row's own. Rows that repeat a vec_id are
+    rows of their own; a null vec_id is never a component_id unless all of the component are null, and is not kept. Other
+    columns are ignored; an empty table gives an empty result. Dimensions are taken to be few: each has a quantiser.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     rows = scratch.write(vectors.select("vec_id", "embedding", "label").withColumn("uid", F.monotonically_increasing_id()))
-    good = usable(rows)
-    common = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if not common:
-        return none
-    good = good.where(F.size("embedding") == common[0]["d"])
-    seen = np.array([r["embedding"] for r in good.orderBy(F.xxhash64("uid")).limit(sample).select("embedding").collect()])
-    shared = spark.sparkContext.broadcast(Quantiser(unit(seen), lists))
-    radius = float(np.sqrt(2 - 2 * cosine)) + 1e-7
+    classes = scratch.write(usable(rows).groupBy("label", "embedding").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")))
+    quantisers = fitted(classes, sample)
+    if not quantisers:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    shared = spark.sparkContext.broadcast(quantisers)  # bounded by the sample, for each dimension
+    radius = math.sqrt(2 - 2 * cosine) + 1e-7
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        for b in batches:
-            if b.num_rows:
-                x = unit(b.column(2).flatten().to_numpy().reshape(b.num_rows, -1))
-                at, codes, error = q.encode(x)
-                probe = [np.flatnonzero(p).tolist() for p in q.probes(x, at, radius)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probe, pa.list_(pa.int32()))], ["uid", "label", "embedding", "list", "codes", "error", "probes"])
+        for whole in batches:
+            dims = whole.column(3).to_numpy()
+            for d in np.unique(dims):
+                b, q = whole.filter(pa.array(dims == d)), shared.value[int(d)]
+                x = unit(stacked(b.column(2)))
+                at, codes, error, length = q.encode(x)
+                near = q.probes(x, at, radius * min(1.0, SIGMAS / math.sqrt(d)))
+                probe = [np.flatnonzero(p[: k + 1]).tolist() for p, k in zip(near, at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(length), pa.array(probe, pa.list_(pa.int32()))], ["rep", "label", "embedding", "dim", "list", "codes", "error", "length", "probes"])
 
     label = rows.schema["label"].dataType.simpleString()
-    indexed = scratch.write(good.mapInArrow(index, f"uid long, label {label}, embedding array<double>, list int, codes binary, error double, probes array<int>"))
-    asked = indexed.select("uid", "label", "embedding", F.explode("probes").alias("list"))
+    indexed = scratch.write(classes.select("rep", "label", "embedding", "dim").mapInArrow(index, f"rep long, label {label}, embedding array<double>, dim int, list int, codes binary, error double, length double, probes array<int>"))
+    asked = indexed.select("label", "dim", "rep", F.col("list").alias("own"), "codes", "error", "length", F.explode("probes").alias("list"))
     # Blocks of each list, by counts that are added up before they are moved.
-    counts = indexed.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("mb"))
-    counts = scratch.write(counts.join(asked.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("qb")), ["label", "list"]))
-    drawn = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    at = ["label", "dim", "list"]
+    counts = asked.groupBy(*at).agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("mb"), F.ceil(F.sum((F.col("own") == F.col("list")).cast("int")) / BLOCK_QUERIES).cast("int").alias("qb")).where("qb > 0")
+    counts = scratch.write(counts)
+    drawn = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    null = lambda kind: F.lit(None).cast(kind)
-    members = indexed.join(counts, ["label", "list"]).select("label", "list", drawn("mb").alias("m"), every("qb").alias("q"), "uid", "embedding", "codes", "error")
-    queries = asked.join(counts, ["label", "list"]).select("label", "list", every("mb").alias("m"), drawn("qb").alias("q"), "uid", "embedding", null("binary").alias("codes"), null("double").alias("error"))
-
-    def match(keys: tuple, group: pa.Table) -> pa.Table:
-        q, number = shared.value, keys[1].as_py()
-        member = group["codes"].is_valid().to_numpy()
-        uid = group["uid"].to_numpy()
-        raw = group["embedding"].combine_chunks().flatten().to_numpy().reshape(len(uid), -1)
-        y, x = raw[~member], raw[member]
-        yu, xu = uid[~member], uid[member]
-        counts, found = np.zeros(len(yu), np.int64), []
-        if len(y) and len(x):
-            codes = np.frombuffer(b"".join(group["codes"].filter(group["codes"].is_valid()).to_pylist()), np.uint8).reshape(len(x), -1)
-            tables = q.tables(unit(y), number)
-            distance = np.zeros((len(y), len(x)))
-            for m in range(codes.shape[1]):
-                distance += tables[:, m, codes[:, m]]
-            near = np.sqrt(np.maximum(distance, 0)) <= radius + group["error"].to_numpy(zero_copy_only=False)[member][None, :]
-            i, j = np.nonzero(near & (yu[:, None] != xu[None, :]))
-            scaled_y, scaled_x = (v / np.abs(v).max(1, keepdims=True) for v in (y, x))
-            ny, nx = np.linalg.norm(scaled_y, axis=1), np.linalg.norm(scaled_x, axis=1)
-            keep = np.zeros(len(i), bool)
-            for lo in range(0, len(i), 65536):
-                a, b = i[lo : lo + 65536], j[lo : lo + 65536]
-                keep[lo : lo + 65536] = np.einsum("ij,ij->i", scaled_y[a], scaled_x[b]) / (ny[a] * nx[b]) >= cosine
-            i, j = i[keep], j[keep]
-            counts = np.bincount(i, minlength=len(yu))
-            found = [(int(a), [len(yu) + int(b)]) for a, b in zip(i, j)]
-        every = np.concatenate((yu, xu))
-        place: dict[int, int] = {}
-        same = [(place[u], [k]) for k, u in enumerate(every.tolist()) if place.setdefault(u, k) != k]
-        root = _roots(len(every), [*found, *same])
-        linked = np.flatnonzero(counts)
-        touched = {*linked.tolist(), *(b for _, js in found for b in js)}
-        edges = sorted({(int(every[k]), int(every[root[k]])) for k in touched if every[k] != every[root[k]]})
-        return pa.table({
-            "kind": pa.array([0] * len(linked) + [1] * len(edges), pa.int32()),
-            "u": pa.array([*yu[linked].tolist(), *(e[0] for e in edges)], pa.int64()), "v": pa.array([*counts[linked].tolist(), *(e[1] for e in edges)], pa.int64()),
-        })
-
-    links = scratch.write(members.unionByName(queries).groupBy("label", "list", "m", "q").applyInArrow(match, "kind int, u long, v long"))
-    direct = links.where("kind = 0").groupBy(F.col("u").alias("cu")).agg(F.sum("v").alias("n"))
+    key = [F.xxhash64(*at, "m", "q", F.lit(k)).alias(f"key{k}") for k in (1, 2)]
+    queries = indexed.select(*at, "rep", "embedding").join(counts, at).withColumn("m", every("mb")).withColumn("q", drawn("qb")).select(*key, "dim", "list", "rep", "embedding")
+    members = asked.join(counts, at).withColumn("m", drawn("mb")).withColumn("q", every("qb")).select(*key, "dim", "list", "rep", "own", "codes", "error", "length")
+    size = counts.agg(F.sum(F.col("qb") * BLOCK_QUERIES + F.col("mb") * F.lit(64))).first()[0] or 0
+    likely = scratch.write(_paired(queries, members, size, lambda a, b: _likely(a, b, shared.value, radius), members.schema, None))
+    fetched = likely.join(indexed.select(F.col("rep").alias("r"), F.col("embedding").alias("vector")), F.col("rep") == F.col("r")).select("key1", "key2", "dim", "list", "rep", "own", F.col("vector").alias("embedding"))
+    reps = classes.select(F.col("rep").alias("r"), "copies")
+    weigh = lambda df: df.join(reps, F.col("rep") == F.col("r")).drop("r")
+    asking = weigh(queries.join(likely.select("key1", "key2").distinct(), ["key1", "key2"], "left_semi"))
+    links = scratch.write(_paired(asking, weigh(fetched), size, lambda a, b: _links(a, b, cosine), None, "kind int, u long, v long"))
+    direct = links.where("kind = 0").groupBy(F.col("u").alias("cu")).agg(F.sum("v").alias("others"))
     roots = components(links.where("kind = 1").select("u", "v"), scratch).select(F.col("node").alias("ru"), "root")
-    met = scratch.write(rows.select("vec_id", "uid").join(direct, F.col("uid") == F.col("cu"), "left").join(roots, F.col("uid") == F.col("ru"), "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "uid").alias("root")))
+    per_class = classes.select("label", "embedding", "rep", "copies").join(direct, F.col("rep") == F.col("cu"), "left").join(roots, F.col("rep") == F.col("ru"), "left")
+    per_class = scratch.write(per_class.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root")))
+    met = rows.join(usable(rows).select(F.col("uid").alias("good"), F.col("label").alias("gl"), F.col("embedding").alias("ge")), F.col("uid") == F.col("good"), "left")
+    met = met.join(per_class, (F.col("gl") == F.col("l")) & (F.col("ge") == F.col("e")), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "uid").alias("root"))
+    met = scratch.write(met)
     least = scratch.write(met.groupBy(F.col("root").alias("r")).agg(F.min("vec_id").alias("component_id")))
     return met.join(least, F.col("root") == F.col("r")).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _paired(queries: DataFrame, members: DataFrame, size: int, match, schema, ddl: str | None) -> DataFrame:
+    """match(queries, members) over the pairs of blocks that have both, many pairs in a task."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    task = F.pmod("key1", F.lit(max(1, -(-size // GROUP_ROWS)))).cast("int").alias("task")
+    schema = schema or StructType.fromDDL(ddl)
+    empty = to_arrow_schema(schema).empty_table()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [match(a, b) for a, b in _by_key(left, right)]
+        return pa.concat_tables(out) if out else empty
+
+    own = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns], task).groupBy("task")  # noqa: E731  columns of its own, as both sides come from one table
+    return own(queries).cogroup(own(members)).applyInArrow(run, schema)
+
+
+def _by_key(left: pa.Table, right: pa.Table) -> Iterator[tuple[pa.Table, pa.Table]]:
+    if not len(left) or not len(right):
+        return
+    cut = []
+    for t in (left.drop_columns("task"), right.drop_columns("task")):
+        t = t.sort_by([("key1", "ascending"), ("key2", "ascending"), ("rep", "ascending")]).combine_chunks()
+        one, two = t["key1"].to_numpy(), t["key2"].to_numpy()
+        edges = [0, *(np.flatnonzero((one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1).tolist(), len(one)]
+        cut.append({(one[i], two[i]): t.slice(i, j - i) for i, j in zip(edges, edges[1:])})
+    for key, own in cut[0].items():
+        if key in cut[1]:
+            yield own, cut[1][key]
+
+
+def _apart(queries: pa.Table, members: pa.Table) -> np.ndarray:
+    """Pairs that count here, queries x members: of a list's own members a pair counts once."""
+    own = members["own"].to_numpy() == queries["list"][0].as_py()
+    return ~own[None, :] | (queries["rep"].to_numpy()[:, None] < members["rep"].to_numpy()[None, :])
+
+
+def _likely(queries: pa.Table, members: pa.Table, quantisers: dict[int, Quantiser], radius: float) -> pa.Table:
+    """The members that lie, by their codes, within the radius and their error of some query."""
+    q = quantisers[queries["dim"][0].as_py()]
+    x = unit(stacked(queries["embedding"]))
+    codes = np.frombuffer(b"".join(members["codes"].to_pylist()), np.uint8).reshape(len(members), -1)
+    near = q.distances(x, members["own"].to_numpy(), codes, members["length"].to_numpy()) <= radius + members["error"].to_numpy()[None, :] + 1e-7
+    return members.filter(pa.array((near & _apart(queries, members)).any(0)))
+
+
+def _links(queries: pa.Table, members: pa.Table, cosine: float) -> pa.Table:
+    """kind 0: a class and links of it found here; kind 1: an edge of a spanning forest of the links."""
+    i, j = np.nonzero((unit(stacked(queries["embedding"])) @ unit(stacked(members["embedding"])).T >= cosine) & _apart(queries, members))
+    reps = [t["rep"].to_numpy() for t in (queries, members)]
+    names, place = np.unique(np.concatenate((reps[0][i], reps[1][j])), return_inverse=True)
+    a, b = place[: len(i)], place[len(i) :]
+    count = np.bincount(a, members["copies"].to_numpy()[j], len(names)) + np.bincount(b, queries["copies"].to_numpy()[i], len(names))
+    root = np.array(_roots(len(names), zip(a.tolist(), b[:, None].tolist())), np.int64)
+    child = np.flatnonzero(root != np.arange(len(names)))
+    kind = [0] * len(names) + [1] * len(child)
+    return pa.table({"kind": pa.array(kind, pa.int32()), "u": pa.array(np.concatenate((names, names[child]))), "v": pa.array(np.concatenate((count.astype(np.int64), names[root[child]])).astype(np.int64))})
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links(table(spark, sf_dir, "embeddings"))
 
