@@ -12,12 +12,13 @@ oversized partitions adaptive execution splits.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_or_empty
+from .common import Scratch, shared_dir, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -68,19 +69,39 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
 def scan_blobs(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The ledger's new rows for paths (blob, text): blob, rule, spans, one for each unseen blob and rule version.
 
-    ledger: rows of an earlier run with the same columns, or None."""
+    ledger: rows of an earlier run with the same columns, or None. Blobs that lack a rule are found by their digests; only
+    their contents are moved."""
     contents = paths.select("blob", "text")
-    if ledger is not None:
-        wanted = len(rules)
-        known = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        contents = contents.join(known, "blob", "left").where(F.coalesce(F.size("seen"), F.lit(0)) < wanted)
+    none = F.array().cast("array<string>")
+    if ledger is None:
+        blobs = contents.groupBy("blob").agg(F.first("text").alias("text")).withColumn("seen", none)
     else:
-        contents = contents.withColumn("seen", F.array().cast("array<string>"))
-    blobs = contents.groupBy("blob").agg(F.first("text").alias("text"), F.first(F.coalesce("seen", F.array().cast("array<string>"))).alias("seen"))
+        known = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy(F.col("blob").alias("b")).agg(F.collect_set("rule").alias("seen"))
+        lacking = paths.select("blob").distinct().join(known, F.col("blob") == F.col("b"), "left").where(F.coalesce(F.size("seen"), F.lit(0)) < len(rules))
+        lacking = Scratch(paths.sparkSession, "lacking").write(lacking.select(F.col("blob").alias("b"), F.coalesce("seen", none).alias("seen")))
+        blobs = contents.join(lacking, F.col("blob") == F.col("b")).groupBy("blob").agg(F.first("text").alias("text"), F.first("seen").alias("seen"))
     results = F.array(*[F.when(~F.array_contains("seen", r.key), F.struct(F.lit(r.key).alias("rule"), spans_of(F.col("text"), r, i).alias("spans"))) for i, r in enumerate(rules)])
     return blobs.select("blob", F.inline(F.filter(results, lambda x: x.isNotNull())))
 
 
+def stored_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger written at path by earlier runs, or None."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.parquet(path)
+
+
+def incremental_scan(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, blob and spans for every row of docs, by the ledger stored at path, to which the run's new rows are appended. A run
+    that was cut short appends nothing, so it is run again. One run at a time may append."""
+    spark = docs.sparkSession
+    paths = addressed(docs.select("doc_id", "text"))
+    scan_blobs(paths, stored_ledger(spark, path), rules).write.mode("append").parquet(path)
+    return findings(paths.select("doc_id", "blob"), spark.read.parquet(path), Scratch(spark, "ledger"), rules)
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, joined by commas."""
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -139,8 +160,14 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
     return out.select(docs.columns)
 
 
+#: Setting that names a ledger's folder to be kept between runs; where it is unset a run starts from an empty ledger of its own.
+LEDGER = "spark.spanlens.secretLedger"
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secret_scan(table(spark, sf_dir, "documents"))
+    """The contract's columns by the stored ledger: a second run with the same LEDGER scans unseen contents only."""
+    path = spark.conf.get(LEDGER, None) or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    found = incremental_scan(table(spark, sf_dir, "documents"), path)
     spans = F.col("spans")
     return found.select(
         "doc_id", count_of(spans, "assign").alias("n_assign"), count_of(spans, "access").alias("n_access"), count_of(spans, "hex").alias("n_hex"),
