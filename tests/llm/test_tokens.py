@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -51,11 +52,11 @@ def _lib(path):
     return _libs.setdefault(path, Tokenizer.from_file(path))
 
 
-@settings(max_examples=300, deadline=None)
-@given(TEXT)
-def test_word_ids_property(text):
-    enc = word_ids.word_encoder(WORD)
-    assert np.frombuffer(enc(text), enc.dtype).tolist() == _lib(WORD).encode(text, add_special_tokens=False).ids
+@settings(max_examples=60, deadline=None)
+@given(st.lists(TEXT, max_size=4))
+def test_word_ids_property(texts):
+    got = word_ids.word_encoder(WORD)(pa.array(texts, pa.string()), 7)
+    assert [x.tolist() for x in got] == [_lib(WORD).encode(t, add_special_tokens=False).ids + [7] for t in texts]
 
 
 def test_tree_equals_tiktoken(odd_docs, documents, tik):
@@ -98,8 +99,26 @@ def test_stream_files_hold_every_id_in_order(spark, odd_docs, documents, library
             at += len(ids)
             flat += ids
         assert pairs(arrow_stream.read_back(spark, manifest)) == sorted(want, key=repr)
-        read = [ids[mask] for m in manifest for ids, mask in arrow_stream.read_sequences(m[1])]
+        read = [ids[mask > 0] for m in manifest for ids, mask in arrow_stream.read_sequences(m[1])]
         assert np.concatenate(read).tolist() == flat
+        for m in manifest:
+            shard = arrow_stream.Sequences(m[1], m[3])
+            every = [(i.tolist(), k.tolist()) for ids, mask in arrow_stream.read_sequences(m[1]) for i, k in zip(ids, mask)]
+            assert len(shard) == len(every)
+            for k in (len(shard) - 1, 0, len(shard) // 2):
+                ids, mask = shard[k]
+                assert (ids.tolist(), mask.tolist()) == every[k] and not ids.flags.owndata and not mask.flags.owndata
+            with pytest.raises(IndexError):
+                shard[len(shard)]
+
+
+def test_string_ids_and_lost_attempts(spark, tmp_path, library):
+    docs = spark.createDataFrame([("b", "two words"), (None, None), ("a", "one")], "doc_id string, text string")
+    (tmp_path / "000000-lost.arrows").write_bytes(b"part")
+    manifest = arrow_stream.write_shards(docs, str(tmp_path), WORD, shards=1)
+    assert not (tmp_path / "000000-lost.arrows").exists()
+    got = arrow_stream.read_back(spark, manifest, docs.schema["doc_id"].dataType).collect()
+    assert [(r.doc_id, r.start) for r in got] == [(None, 0), ("a", 1), ("b", 1 + got[1].n_tokens)]
 
 
 def test_empty_table(spark, no_docs, tmp_path):
