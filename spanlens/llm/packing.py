@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_map, small_batches, table, text_or_empty
 from .word_ids import word_encoder
 
-#: Parts into which a run is split for ranking, so that a length that a third of all rows share is spread.
-SALTS = 64
+#: Rows of one length that a task ranks, on average: a length that a third of all rows share is split by its count.
+SALTED = 1000
 
 
 def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
@@ -101,14 +101,17 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048
     small_batches(spark)
     scratch = Scratch(spark, "packing")
     pieces = scratch.write(cut(docs, vocabulary, end_id, capacity).withColumn("uid", F.monotonically_increasing_id()))
-    part = pieces.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
-    sizes = scratch.write(part.groupBy("length", "salt").agg(F.count("*").alias("n")))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    part = pieces.where(F.col("length") < capacity)
+    by_length = scratch.write(part.groupBy("length").agg(F.count("*").alias("n")))
+    counts = {r["length"]: r["n"] for r in by_length.collect()}
     placed = spark.createDataFrame(plan(counts, capacity), "length long, lo long, hi long, first long, offset long")
-    # At most capacity x SALTS rows, and the plan's runs: both bounded by the capacity, so they are broadcast.
-    before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+    # A row for each length below the capacity.
+    part = part.join(F.broadcast(by_length.select("length", F.ceil(F.col("n") / SALTED).alias("salts"))), "length").withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts"))).drop("salts")
+    sizes = scratch.write(part.groupBy("length", "salt").agg(F.count("*").alias("n")))
+    before = sizes.select(F.col("length").alias("l"), F.col("salt").alias("s"), (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("uid")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = ranked.join(scratch.write(before), (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("rank") + F.col("before"))
+    # The plan's runs are bounded by the capacity, so they are broadcast.
     met = ranked.join(F.broadcast(placed), "length").where("rank >= lo AND rank < hi")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
