@@ -35,7 +35,7 @@ TARGET_RECALL = 0.9999
 #: How far the labels' estimate may lie below the wanted similarity: over five standard deviations.
 MARGIN = 0.2
 #: Members of a node's block, and members that a task is given at once, on average.
-BLOCK_DOCS, GROUP_DOCS = 256, 4096
+BLOCK_DOCS, GROUP_DOCS = 1024, 2048
 #: Numbers of shingles whose possible similarities are looked at one by one; above, any is possible.
 COUNTED = 64
 
@@ -60,7 +60,7 @@ def _chunk_hashes(chunk: str) -> tuple[int, ...]:
     return tuple(_word_hash(w) for w in _TOKEN.findall(chunk.lower()))
 
 
-_single = Pieces(lambda chunk: h[0] if len(h := _chunk_hashes(chunk)) == 1 else None, 500_000)
+_single = Pieces(lambda chunk: h[0] if len(h := _chunk_hashes(chunk)) == 1 else None, 300_000)
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -214,7 +214,7 @@ def forest_groups(docs: DataFrame, similarity: float = SIMILARITY, trees: int =
     component is kept. A null doc_id is smaller than any other. Other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark, 512)
+    small_batches(spark, 256)
     scratch = Scratch(spark, "forest")
     base = docs.select("doc_id", text_or_empty().alias("text"), "uid")
     signed = scratch.write(signatures(base, trees * depth))
