@@ -1,7 +1,7 @@
 """Token ids in the Arrow stream format.
 
 Documents are dealt by ranges of doc_id; each task writes one shard: a stream file whose batches hold
-fixed-size lists of ids and of mask bytes, a second one that says where each document lies, and a third with the
+fixed-size lists of ids and of mask bits, a second one that says where each document lies, and a third with the
 place of each batch in the first, as the stream format has no footer: sequence k of a shard is a slice of
 a memory map. Ids of one document run on over sequences, and only a shard's last sequence is padded. A shard
 counts once its task's row has reached the manifest; files of lost attempts bear other names and are removed.
@@ -85,7 +85,7 @@ class ShardWriter:
         self.length, self.dtype = length, dtype
         self.paths = tuple(f"{stem}{x}.arrows" for x in ("", ".index", ".places"))
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index_schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_ids", pa.int64())])
         self.streams, self.writers = [], []
         self.places_schema = pa.schema([("offset", pa.int64())])
@@ -118,7 +118,7 @@ class ShardWriter:
         n = -(-len(ids) // self.length)
         padded = np.zeros(n * self.length, self.dtype)
         padded[: len(ids)] = ids
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, (np.arange(n * self.length) < len(ids)).astype(np.uint8))]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (padded, np.arange(n * self.length) < len(ids))]
         self.places.append(self.streams[0].tell())
         self.writers[0].write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -131,7 +131,8 @@ class ShardWriter:
 
 
 class Sequences:
-    """Random access to a shard's sequences: len(), and (ids, mask) of any number, slices of the memory map where the file is local."""
+    """Random access to a shard's sequences: len(), and (ids, mask) of any number as Arrow arrays, slices of the memory map where the file is local. Mask
+    bits stay packed: a byte each would make the files half as large again."""
 
     def __init__(self, ids_path: str, places_path: str):
         from pyarrow import fs
@@ -152,14 +153,14 @@ class Sequences:
     def __len__(self) -> int:
         return (len(self.places) - 1) * BATCH_SEQUENCES + self.batch(-1).num_rows if len(self.places) else 0
 
-    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, k: int) -> tuple[pa.Array, pa.Array]:
         number, row = divmod(k, BATCH_SEQUENCES)
         if k < 0 or number >= len(self.places):
             raise IndexError(k)
-        ids, mask = (c.flatten().to_numpy()[row * self.length : (row + 1) * self.length] for c in self.batch(number).columns)
-        if not len(ids):
+        batch = self.batch(number)
+        if row >= batch.num_rows:
             raise IndexError(k)
-        return ids, mask
+        return tuple(c.slice(row, 1).flatten() for c in batch.columns)
 
 
 def batches_of(path: str) -> Iterator[pa.RecordBatch]:
@@ -175,7 +176,7 @@ def read_sequences(path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, mask) of each batch, both sequences x length."""
     for b in batches_of(path):
         n = b.schema.field("ids").type.list_size
-        yield b.column(0).flatten().to_numpy().reshape(-1, n), b.column(1).flatten().to_numpy().reshape(-1, n)
+        yield b.column(0).flatten().to_numpy().reshape(-1, n), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
 
 
 def read_documents(ids_path: str, index_path: str) -> Iterator[tuple[int | None, int, np.ndarray]]:

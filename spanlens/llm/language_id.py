@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, chunked, own_memory, small_batches, table
+from .common import arrow_map, chunked, own_memory, small_batches, strings, table
 
 START = "▁"
 WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -306,6 +306,7 @@ class Scorer:
         if len(self.chunks) > self.limit:
             self.reset()
         chunks, at, edges = chunked(texts)
+        chunks = strings(chunks)
         if unseen := [c for c in chunks if c not in self.chunks]:
             self.learn(unseen)
         at = np.array([self.chunks[c] for c in chunks], np.int64)[at]

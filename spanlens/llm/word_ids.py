@@ -1,7 +1,7 @@
 """Ids of the word vocabulary (lower case, white space dropped, word ends), as the tokenizers library gives them.
 
 White space separates pre-tokens in this vocabulary, so a text's ids are the concatenation of the ids of
-its blank-separated chunks. Each distinct chunk goes through the library once in a worker; the rest is lookup.
+its chunks between blanks and line feeds. Each distinct word goes through the library once in a worker; the rest is lookup.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import Pieces, chunked, own_memory, quiet_tokenizers
+from .common import Pieces, chunked, own_memory, quiet_tokenizers, strings
 
 _encoders: dict[str, "WordIds"] = {}
 
@@ -33,15 +34,13 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words = Pieces(self._word, 600_000)
-        self.chunks = Pieces(self._chunk, 400_000)
+        self.words = Pieces(self._word, 800_000)
+        self.chunks = Pieces(self._chunk, 200_000)
 
     def _word(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if "\n" in chunk:
-            return b"".join([self.chunks[x] for x in chunk.split("\n")])
         if not chunk:
             return b""
         if chunk[-1] in ".," and chunk[:-1].isalnum():  # a run of letters or digits ends where punctuation begins
@@ -56,9 +55,26 @@ class WordIds:
             return self.words[chunk]
         return self.words[chunk if chunk.isascii() and "<|" in chunk else chunk.lower()]
 
+    def _parts(self, chunks: pa.Array) -> list[bytes]:
+        """The ids of each chunk. ASCII letters and digits, with a full stop or comma after them or without, are folded all at once."""
+        end = pc.utf8_slice_codeunits(chunks, -1)
+        stem = pc.if_else(pc.is_in(end, pa.array([".", ","])), pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+        plain = pc.and_(pc.string_is_ascii(stem), pc.ascii_is_alnum(stem)).to_numpy(zero_copy_only=False)
+        words, mark = self.words, (self.words["."], self.words[","])
+        out = [b""] * len(chunks)
+        at = np.flatnonzero(plain)
+        taken = strings(pc.ascii_lower(stem).take(at))
+        ends = strings(end.take(at))
+        for k, w, e in zip(at.tolist(), taken, ends):
+            out[k] = words[w] + mark[0] if e == "." else words[w] + mark[1] if e == "," else words[w]
+        rest = np.flatnonzero(~plain)
+        for k, c in zip(rest.tolist(), strings(chunks.take(rest))):
+            out[k] = self.chunks[c]
+        return out
+
     def __call__(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
-        chunks, at, edges = chunked(texts)
-        parts = [self.chunks[x] for x in chunks]
+        chunks, at, edges = chunked(pc.replace_substring(texts, "\n", " "))
+        parts = self._parts(chunks)
         flat = np.frombuffer(b"".join(parts), self.dtype)
         sizes = np.array([len(x) for x in parts], np.int64) // self.dtype.itemsize
         own = sizes[at]
