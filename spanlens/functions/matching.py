@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 #: An ASCII word boundary: Java's own is Unicode-aware in part, and detectors are defined on ASCII.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
+#: The same in front of, and behind, what only matches word characters.
+BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
 MATCHES = "array<struct<start:int,end:int,match:string>>"
 
 
-def ascii_rules(pattern: str) -> str:
-    r"""A pattern with \b written out for ASCII and letters in either case."""
+def ascii_rules(pattern: str, words: bool = False) -> str:
+    r"""A pattern with \b written out for ASCII and letters in either case. words: what stands next to each \b is a word character, so that
+    one look-around does; a \b is a start at the pattern's or an alternative's start."""
+    if words:
+        parts = pattern.split(r"\b")
+        pattern = parts[0] + "".join((BEFORE if not a or a.endswith("|") else AFTER) + b for a, b in zip(parts, parts[1:]))
     return "(?i)" + pattern.replace(r"\b", EDGE)
 
 
@@ -26,18 +33,20 @@ def literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def all_matches(text: str, pattern: str) -> Column:
+def all_matches(text: str, pattern: str, needs: str | None = None) -> Column:
     """Array of (start, end, match) over the column named `text`: start is 1-based, end inclusive, both in code points.
     Null text gives an empty array.
 
     Gaps between matches come from split, matches from regexp_extract_all; one pass adds up lengths. It is written as
-    one SQL expression, since a scan builds dozens of them and each call to the JVM counts."""
-    return F.expr(all_matches_sql(text, pattern))
+    one SQL expression, since a scan builds dozens of them and each call to the JVM counts. needs: a plain pattern that
+    any text with a match holds, which is cheaper to look for."""
+    return F.expr(all_matches_sql(text, pattern, needs))
 
 
-def all_matches_sql(text: str, pattern: str) -> str:
+def all_matches_sql(text: str, pattern: str, needs: str | None = None) -> str:
     t, p, none = f"`{text}`", literal(pattern), f"CAST(array() AS {MATCHES})"
     hit = "named_struct('start', acc.at + x.gap + 1, 'end', acc.at + x.gap + char_length(x.hit), 'match', x.hit)"
     step = f"named_struct('at', acc.at + x.gap + coalesce(char_length(x.hit), 0), 'out', CASE WHEN x.hit IS NOT NULL THEN concat(acc.out, array({hit})) ELSE acc.out END)"
     pairs = f"zip_with(transform(split({t}, {p}, -1), g -> char_length(g)), regexp_extract_all({t}, {p}, 0), (g, h) -> named_struct('gap', g, 'hit', h))"
-    return f"CASE WHEN {t} RLIKE {p} THEN aggregate({pairs}, named_struct('at', 0, 'out', {none}), (acc, x) -> {step}, acc -> acc.out) ELSE {none} END"
+    gate = f"{t} RLIKE {literal(needs)} AND " if needs else ""
+    return f"CASE WHEN {gate}{t} RLIKE {p} THEN aggregate({pairs}, named_struct('at', 0, 'out', {none}), (acc, x) -> {step}, acc -> acc.out) ELSE {none} END"

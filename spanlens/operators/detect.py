@@ -18,7 +18,8 @@ VALID, PENALTY, LEAST = 0.99, 0.4, 0.1
 
 @dataclass(frozen=True)
 class Detector:
-    """pattern is written for ASCII and either case; validate maps a match to a boolean column."""
+    """pattern is written for ASCII and either case; validate maps a match to a boolean column; needs is a plain pattern that every
+    match holds, looked for first; words: all matches start and end with a word character."""
 
     name: str
     type: str
@@ -26,25 +27,27 @@ class Detector:
     pattern: str
     base: float
     validate: Callable[[Column], Column] | None = None
+    needs: str | None = None
+    words: bool = False
 
 
 # Names, types, identifiers, shapes and base confidences of the shipped detectors, in order.
 DETECTORS = (
-    Detector("nric", "nric", "national_id", r"\b[STFGM][0-9]{7}[A-Z]\b", 0.6, nric_valid),
-    Detector("temp_ic", "nric", "national_id", r"\b[XY][0-9]{7}(?:[0-9]{3})?[A-Z]\b", 0.8),
-    Detector("email", "email", "email", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", 0.97),
-    Detector("phone", "phone", "phone", r"(?<![0-9])(?:\+?65[ -]?)?[3689][0-9]{3}[ -]?[0-9]{4}(?![0-9])", 0.7),
-    Detector("postal", "postal", "postal_code", r"\bSingapore\s+[0-9]{6}\b|\bS\(?[0-9]{6}\)?\b", 0.6),
-    Detector("date", "date", "dob", r"\b(?:[0-3]?[0-9][/-][0-1]?[0-9][/-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[/-][0-1]?[0-9][/-][0-3]?[0-9])\b", 0.75),
-    Detector("date_compact", "date", "dob", r"\b[0-9]{8}(?:[ T][0-9]{6})?\b", 0.55, lambda m: compact_date(m).isNotNull()),
-    Detector("url", "url", "other_id", r"\bhttps?://[^\s]+\b", 0.95),
-    Detector("ip", "ip", "other_id", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", 0.7, ip_valid),
-    Detector("passport", "passport", "national_id", r"\b[A-Z]{1,2}[0-9]{6,8}\b", 0.35),
-    Detector("case", "case", "case_visit", r"\b[0-9]{10}[A-Z]\b", 0.7),
-    Detector("mrn", "mrn", "mrn", r"\b[A-Z]{0,3}[0-9]{6,10}\b", 0.4),
-    Detector("creditcard", "account", "other_id", r"\b(?:[0-9]{4}[ -]?){3}[0-9]{4}\b", 0.6, luhn),
+    Detector("nric", "nric", "national_id", r"\b[STFGM][0-9]{7}[A-Z]\b", 0.6, nric_valid, needs="[0-9]{7}", words=True),
+    Detector("temp_ic", "nric", "national_id", r"\b[XY][0-9]{7}(?:[0-9]{3})?[A-Z]\b", 0.8, needs="[0-9]{7}", words=True),
+    Detector("email", "email", "email", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", 0.97, needs="@"),
+    Detector("phone", "phone", "phone", r"(?<![0-9])(?:\+?65[ -]?)?[3689][0-9]{3}[ -]?[0-9]{4}(?![0-9])", 0.7, needs="[0-9]{4}"),
+    Detector("postal", "postal", "postal_code", r"\bSingapore\s+[0-9]{6}\b|\bS\(?[0-9]{6}\)?\b", 0.6, needs="[0-9]{6}"),
+    Detector("date", "date", "dob", r"\b(?:[0-3]?[0-9][/-][0-1]?[0-9][/-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[/-][0-1]?[0-9][/-][0-3]?[0-9])\b", 0.75, needs="[/-]", words=True),
+    Detector("date_compact", "date", "dob", r"\b[0-9]{8}(?:[ T][0-9]{6})?\b", 0.55, lambda m: compact_date(m).isNotNull(), needs="[0-9]{8}", words=True),
+    Detector("url", "url", "other_id", r"\bhttps?://[^\s]+\b", 0.95, needs="://"),
+    Detector("ip", "ip", "other_id", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", 0.7, ip_valid, needs="[0-9][.][0-9]", words=True),
+    Detector("passport", "passport", "national_id", r"\b[A-Z]{1,2}[0-9]{6,8}\b", 0.35, needs="[0-9]{6}", words=True),
+    Detector("case", "case", "case_visit", r"\b[0-9]{10}[A-Z]\b", 0.7, needs="[0-9]{10}", words=True),
+    Detector("mrn", "mrn", "mrn", r"\b[A-Z]{0,3}[0-9]{6,10}\b", 0.4, needs="[0-9]{6}", words=True),
+    Detector("creditcard", "account", "other_id", r"\b(?:[0-9]{4}[ -]?){3}[0-9]{4}\b", 0.6, luhn, needs="[0-9]{4}", words=True),
 )
-POSTAL6 = Detector("postal6", "postal", "postal_code", r"\b[0-9]{6}\b", 0.5)
+POSTAL6 = Detector("postal6", "postal", "postal_code", r"\b[0-9]{6}\b", 0.5, needs="[0-9]{6}", words=True)
 
 
 def detectors(postal6: bool = False, extra: Iterable[Detector] = ()) -> tuple[Detector, ...]:
@@ -67,7 +70,7 @@ def confidence(d: Detector, match: Column, floor: bool) -> Column:
 def spans_of(text: str, d: Detector) -> Column:
     """Array of a detector's spans in the column named `text`."""
     return F.transform(
-        all_matches(text, ascii_rules(d.pattern)),
+        all_matches(text, ascii_rules(d.pattern, d.words), d.needs),
         lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), F.lit(d.type).alias("type"), F.lit(d.identifier).alias("identifier"), F.lit(f"rule:{d.name}").alias("detector"), confidence(d, m["match"], True).alias("confidence")),
     )
 

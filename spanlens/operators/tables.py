@@ -18,14 +18,16 @@ DELIMITERS = ("\t", "|", ",", ";")
 REACH = 60
 
 # Words of headers over people, over codes, and over the columns of a dataset; HL7 fields that hold people.
-PEOPLE = (
-    "name names patient pt staff user username clinician doctor dr nurse author caller nok carer caregiver informant witness officer member employee worker resident client attendee participant by "
-    "sign signature sig initials initial checked verified dispensed scribe rn surgeon anaesthetist anesthetist scrub circulating assistant pharmacist therapist midwife vaccinator consultant registrar "
-    "parent guardian mother father spouse kin init inits screener abstractor reviewer recorder interviewer coordinator collector approver requester reporter assessor rater observer investigator"
-).split()
-CODES = "no id ref code number num nbr serial subject subj participant donor sample aliquot".split()
-DATASET = "var variable field column col file dataset table item drug brand product test site ward unit".split()
-STAFF = "PT OT ST DSA RN SSN SRN EN MO HO MSW SW APN NC CM".split()
+PEOPLE = [
+    "name", "names", "patient", "pt", "staff", "user", "username", "clinician", "doctor", "dr", "nurse", "author", "caller", "nok", "carer", "caregiver", "informant", "witness",
+    "officer", "member", "employee", "worker", "resident", "client", "attendee", "participant", "by", "sign", "signature", "sig", "initials", "initial", "checked", "verified",
+    "dispensed", "scribe", "rn", "surgeon", "anaesthetist", "anesthetist", "scrub", "circulating", "assistant", "pharmacist", "therapist", "midwife", "vaccinator", "consultant",
+    "registrar", "parent", "guardian", "mother", "father", "spouse", "kin", "init", "inits", "screener", "abstractor", "reviewer", "recorder", "interviewer", "coordinator",
+    "collector", "approver", "requester", "reporter", "assessor", "rater", "observer", "investigator",
+]
+CODES = ["no", "id", "ref", "code", "number", "num", "nbr", "serial", "subject", "subj", "participant", "donor", "sample", "aliquot"]
+DATASET = ["var", "variable", "field", "column", "col", "file", "dataset", "table", "item", "drug", "brand", "product", "test", "site", "ward", "unit"]
+STAFF = ["PT", "OT", "ST", "DSA", "RN", "SSN", "SRN", "EN", "MO", "HO", "MSW", "SW", "APN", "NC", "CM"]
 HL7_NAMES = ("PID-5", "PID-6", "PID-9", "NK1-2", "NK1-30", "GT1-3", "IN1-16", "PRD-2")
 HL7_CLINICIANS = ("PV1-7", "PV1-8", "PV1-9", "PV1-17", "PV1-52", "ORC-10", "ORC-11", "ORC-12", "OBR-16", "OBR-28", "EVN-5", "PD1-4", "TXA-5", "TXA-9", "TXA-10", "TXA-11", "TXA-22", "ROL-4")
 
