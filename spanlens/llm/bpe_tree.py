@@ -16,7 +16,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Pieces, arrow_map, small_batches, table, text_or_empty
+from .common import Pieces, arrow_map, own_memory, small_batches, table, text_or_empty
 
 #: Bytes that are encoded by merging alone; longer runs are halved.
 LEAF = 24
@@ -26,6 +26,7 @@ _codecs: dict[str, "TreeCodec"] = {}
 
 def codec(path: str) -> "TreeCodec":
     """The worker's codec for a rank file."""
+    own_memory("bpe_tree", _codecs.clear)
     if path not in _codecs:
         _codecs[path] = TreeCodec(path)
     return _codecs[path]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -32,13 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run under the shared folder. A written table cuts lineage and outlives executors;
-    drop() removes those that a later round has replaced."""
+    """Tables of one run under the shared folder. A written table cuts lineage and outlives executors; drop() removes those
+    that a later round has replaced, clear() all of them. A result may read them: it must be written before."""
+
+    #: Where several runs are to be cleared together, a list that new ones are put on.
+    made: list["Scratch"] | None = None
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if Scratch.made is not None:
+            Scratch.made.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -48,10 +55,15 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def drop(self, df: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df.scratch_path)
+
+    def clear(self) -> None:
+        self._delete(self.root)
 
     def numbered(self, docs: DataFrame, *columns) -> DataFrame:
         """The columns of docs with uid, a number for each row, written: a number given anew at each read follows the file
@@ -118,6 +130,10 @@ def own_memory(operator: str, forget: Callable[[], None]) -> None:
     if _owner[0] != operator:
         if _owner[1] is not None:
             _owner[1]()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps freed memory else
+                trim(0)
         _owner[:] = [operator, forget]
 
 

@@ -263,7 +263,7 @@ _scorers: dict[str, "Scorer"] = {}
 class Scorer:
     """Language log probabilities of texts. Columns of `values` are sums over a chunk's words; column 0 is a chunk without a letter."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 250_000):
         self.model, self.lattice, self.limit = model, Lattice(model.pieces), limit
         self.reset()
 

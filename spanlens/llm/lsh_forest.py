@@ -222,6 +222,7 @@ def forest_groups(docs: DataFrame, similarity: float = SIMILARITY, trees: int =
     classes = scratch.write(signed.where("n > 0").groupBy("one", "two", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label")))
     units = scratch.write(_likely(_units(classes, scratch, similarity, trees, depth, target), classes, similarity, trees, depth))
     links = scratch.write(_verified(units, base, similarity, trees, depth))
+    scratch.drop(units)
     direct = links.where("kind = 0").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("others"))
     roots = components(links.where("kind = 1").select("u", "v"), scratch).select(F.col("node").alias("rep"), F.col("root").alias("top"))
     per_class = scratch.write(

@@ -13,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Pieces, arrow_map, small_batches, table, text_or_empty
+from .common import Pieces, arrow_map, own_memory, small_batches, table, text_or_empty
 
 _counters: dict[str, "TokenCounter"] = {}
 
 
 def counter(path: str) -> "TokenCounter":
     """The worker's counter for a vocabulary file."""
+    own_memory("token_counts", _counters.clear)
     if path not in _counters:
         _counters[path] = TokenCounter(path)
     return _counters[path]

@@ -34,8 +34,8 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words = Pieces(self._word, 800_000)
-        self.chunks = Pieces(self._chunk, 200_000)
+        self.words = Pieces(self._word, 450_000)
+        self.chunks = Pieces(self._chunk, 150_000)
 
     def _word(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
