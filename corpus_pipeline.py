@@ -6,6 +6,7 @@ the next one's docs.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,12 +54,33 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_last: list[Scratch] = []
+
+
+def clearing(stage: Stage) -> Stage:
+    """The stage, clearing the scratch tables of the one before: what that returned has been written by now and is read as docs."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for scratch in _last:
+            scratch.clear()
+        _last.clear()
+        Scratch.made = _last
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            Scratch.made = None
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("exact_dedup", drop_copies),
-    ("near_dedup", drop_near_copies),
-    ("secret_scan", mask_secrets),
-    ("packing", pack_sequences),
+    ("language_id", clearing(identify_language)),
+    ("exact_dedup", clearing(drop_copies)),
+    ("near_dedup", clearing(drop_near_copies)),
+    ("secret_scan", clearing(mask_secrets)),
+    ("packing", clearing(pack_sequences)),
 ]
 
 #: The stages tokenize, fit a model and hash, which SQL can't express; tests hold run() against a brute-force version.
@@ -67,7 +89,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir))
+        written.append(docs)
+        if len(written) > 1:
+            scratch.drop(written[-2])
     return docs
