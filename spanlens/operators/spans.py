@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,22 @@ def check_policy(policy: dict) -> dict:
     return policy
 
 
+def load_policy(path: str | None = None, variable: str = "SPANLENS_POLICY", relative: str = "docs/private/policy.json", search_from: str = ".") -> dict:
+    """The checked policy of a path, else of the file that an environment variable names, else of the nearest file of the relative path at or above a folder."""
+    at = path or os.environ.get(variable)
+    folder = os.path.abspath(search_from)
+    while at is None:
+        if os.path.isfile(os.path.join(folder, relative)):
+            at = os.path.join(folder, relative)
+        elif os.path.dirname(folder) == folder:
+            break
+        folder = os.path.dirname(folder)
+    if at is None or not os.path.isfile(at):
+        raise FileNotFoundError(f"no policy file: give a path or set {variable}")
+    with open(at, encoding="utf-8") as f:
+        return check_policy(json.load(f))
+
+
 def resolve_policy(spans: DataFrame, policy: DataFrame) -> DataFrame:
     """spans (type, identifier, context map<string,string>, ...) with policy_key, action, method, options, needs_review.
 
