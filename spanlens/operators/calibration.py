@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 #: Probabilities are clipped this far from 0 and 1 before a logarithm is taken.
 CLIP = 1e-6
 FORMAT = "spanlens.calibration.v1"
@@ -254,10 +256,9 @@ def choose_thresholds(rows: DataFrame, recall: float = 0.98, precision: float =
 
 
 def folds(rows: DataFrame, k: int, doc: str = "doc", order: str = "seq") -> DataFrame:
-    """rows with fold: documents in the order they are first seen are dealt to k folds in turn. The window holds a row for each
-    document of a calibration set, not for each of its rows."""
+    """rows with fold: documents in the order they are first seen are dealt to k folds in turn."""
     first = rows.groupBy(doc).agg(F.min(order).alias("_first"))
-    dealt = first.select(doc, ((F.row_number().over(Window.orderBy("_first")) - 1) % k).alias("fold"))
+    dealt = running(first, "_first", F.lit(1)).select(doc, (F.col("before") % k).cast("int").alias("fold"))
     return rows.join(dealt, doc)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .judge import IDENTIFIERS, SENSITIVE
+from .ranks import running
 
 # The gate's labels and bounds, and the normal quantile of a 95 % interval.
 DIRECT = ("name", "national_id", "mrn", "phone", "email", "case_visit", "fax", "address", "postal_code", "dob", "date_of_death")
@@ -124,9 +125,8 @@ def percentile_index(values: DataFrame, q: float, column: str = "value") -> Data
 
 
 def _at(values: DataFrame, column: str, place: Column) -> DataFrame:
-    """Values are first counted, then the place is found by the array of distinct values and counts, which timings bound."""
+    """Values are first counted; the least whose running count reaches the place is taken. Null without values."""
     runs = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    listed = runs.agg(F.array_sort(F.collect_list(F.struct(F.col(column).alias("v"), "c"))).alias("runs"), F.sum("c").alias("n"))
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast(values.schema[column].dataType).alias("v"))
-    step = lambda acc, r: F.struct((acc["seen"] + r["c"]).alias("seen"), F.when(acc["v"].isNull() & (acc["seen"] + r["c"] >= F.col("place")), r["v"]).otherwise(acc["v"]).alias("v"))
-    return listed.withColumn("place", place).select(F.aggregate("runs", start, step, lambda acc: acc["v"]).alias(column))
+    reached = running(runs, column, F.col("c")).withColumn("reached", F.col("before") + F.col("c"))
+    sought = reached.agg(F.sum("c").alias("n")).select(place.alias("place"))  # one row
+    return reached.crossJoin(F.broadcast(sought)).agg(F.min(F.when(F.col("reached") >= F.col("place"), F.col(column))).alias(column))

@@ -89,3 +89,20 @@ def test_pool_wilson_gate(spark):
     assert (w.low, w.high) == (0.9496, 0.9892)
     got = {r["check"]: r["result"] for r in s.gate(pooled.withColumn("ece", F.lit(None).cast("double"))).collect()}
     assert got == {"direct_recall": "PASS", "precision": "PASS", "ece": "INCOMPLETE", "f1": "PASS", "overall": "INCOMPLETE"}
+
+
+def test_ranks_and_percentiles_hold_over_many_ranges(spark):
+    from spanlens.operators.ranks import running
+
+    rng = random.Random(3)
+    values = [rng.choice((1.5, rng.random() * 100)) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "value double")
+    for q in (0.0, 0.25, 0.5, 0.95, 1.0):
+        ordered, n = sorted(values), len(values)
+        assert s.percentile_nearest(df, q).first()[0] == ordered[max(math.ceil(n * q), 1) - 1]
+        assert s.percentile_index(df, q).first()[0] == ordered[min(int(n * q), n - 1)]
+    assert s.percentile_nearest(df.where("value < 0"), 0.5).first()[0] is None
+    got = running(spark.range(1000).withColumn("id", -F.col("id")), "id", F.lit(1)).collect()
+    assert all(r.before == r.id + 999 for r in got)
+    dealt = c.folds(spark.range(97).selectExpr("id % 31 AS doc", "id AS seq"), 5).collect()
+    assert len(dealt) == 97 and all(r.fold == r.doc % 5 for r in dealt)
