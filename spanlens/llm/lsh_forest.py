@@ -35,7 +35,7 @@ TARGET_RECALL = 0.9999
 #: How far the labels' estimate may lie below the wanted similarity: over five standard deviations.
 MARGIN = 0.2
 #: Members of a node's block, and members that a task is given at once, on average.
-BLOCK_DOCS, GROUP_DOCS = 1024, 2048
+BLOCK_DOCS, GROUP_DOCS = 1024, 512
 #: Numbers of shingles whose possible similarities are looked at one by one; above, any is possible.
 COUNTED = 64
 
