@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrow_stream, bpe_tree, exact_dedup, language_id, lsh_forest, packing, pq_dedup, secret_scan, suffix_dedup, token_counts
+from . import arrow_stream, bpe_tree, divergence, exact_dedup, language_id, lsh_forest, packing, pq_dedup, secret_scan, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_secret_ledger": secret_scan.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8,
     "op9_lsh_forest": lsh_forest.op9,
     "op10_bpe_tree": bpe_tree.op10,
+    "op13_source_divergence": divergence.op13,
 }
 
 SQL = {
     "op1_secret_ledger": secret_scan.OP1_SQL,
     "op2_pq_vectors": pq_dedup.OP2_SQL,
     "op5_radix_dedup": exact_dedup.OP5_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
