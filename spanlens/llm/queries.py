@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrow_stream, bpe_tree, divergence, exact_dedup, language_id, lsh_forest, packing, pq_dedup, prefix_trie, secret_scan, suffix_dedup, token_counts
+from . import arrow_stream, bpe_tree, divergence, exact_dedup, language_id, lsh_forest, packing, pq_dedup, prefix_trie, quality_net, secret_scan, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_secret_ledger": secret_scan.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8,
     "op9_lsh_forest": lsh_forest.op9,
     "op10_bpe_tree": bpe_tree.op10,
+    "op11_byte_network": quality_net.op11,
     "op12_prefix_trie": prefix_trie.op12,
     "op13_source_divergence": divergence.op13,
 }
