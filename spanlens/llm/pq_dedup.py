@@ -5,11 +5,10 @@ bounded sample of classes, once for each dimension; every class is indexed. List
 classes, as far as the sample can fit them.
 
 A class is a query in its own list, and its codes, a few bytes, go to its own list and to each list of a lower
-number that it probes. A cell lies behind the bisecting plane between two centroids, so a partner within the
-search radius lies in another list only if that plane is within the radius, too; in many dimensions a difference has
-little of its length along any one direction, so the probes reach SIGMAS times the radius over the root of the
-dimension, never over the radius itself. Up to 16 dimensions that loses nothing; above, a pair at the threshold
-is lost with a chance below one in ten thousand for each direction, and pairs of a cosine of about 0.98 never.
+number that it probes: all that can hold a partner. A cell lies behind the bisecting plane between two centroids, so a partner
+within the search radius lies in another list only if that plane is within the radius; and a list's members lie between its
+least and its greatest distance to the centroid, so by the triangle inequality the class must lie within the radius of that
+ring. Both bounds hold for every direction a difference may have: no link is lost.
 
 In a list, distances are summed from lookup tables of a query's products with the codewords. They are off by at
 most the stored residual error of the member, so nothing is lost there. Members with a likely link have their vectors
@@ -33,9 +32,8 @@ from .components import components
 from .lsh_forest import _roots
 
 COSINE = 0.93
-#: Bound of the sample that the fit reads for a dimension, and sampled rows that a list wants; components of a subspace; codes of a codebook.
-SAMPLE, LIST_ROWS, SUBSPACE, CODES = 20_000, 16, 8, 256
-SIGMAS = 4.0
+#: Bounds of the sample that the fit reads for a dimension, in rows and in components; sampled rows that a list wants; components of a subspace; codes of a codebook.
+SAMPLE, SAMPLE_VALUES, LIST_ROWS, SUBSPACE, CODES = 20_000, 10_000_000, 16, 8, 256
 #: Queries and members of a block; rows that a task is given at once, on average.
 BLOCK_QUERIES, BLOCK_MEMBERS, GROUP_ROWS = 512, 4096, 8192
 
@@ -66,20 +64,22 @@ class Quantiser:
         residuals = x - self.centroids[nearest(x, self.centroids)]
         self.books = [k_means(residuals[:, s], CODES, 6, rng) for s in self.slices]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """list, codes, residual error and squared length of what list and codes stand for, of unit vectors."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """list, distance to its centroid, codes, residual error and squared length of what list and codes stand for, of unit vectors."""
         at = nearest(x, self.centroids)
         r = x - self.centroids[at]
         codes = np.stack([nearest(r[:, s], b) for s, b in zip(self.slices, self.books)], 1)
         back = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
-        return at, codes.astype(np.uint8), np.linalg.norm(r - back, axis=1), ((self.centroids[at] + back) ** 2).sum(1)
+        return at, np.linalg.norm(r, axis=1), codes.astype(np.uint8), np.linalg.norm(r - back, axis=1), ((self.centroids[at] + back) ** 2).sum(1)
 
-    def probes(self, x: np.ndarray, at: np.ndarray, reach: float) -> np.ndarray:
-        """Whether a list's cell comes within the reach, rows x lists."""
+    def probes(self, x: np.ndarray, at: np.ndarray, radius: float, least: np.ndarray, greatest: np.ndarray) -> np.ndarray:
+        """Whether a list's cell and its ring, from least to greatest (by list), come within the radius, rows x lists."""
         c = self.centroids
         d2 = (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T
         apart = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * c @ c.T, 1e-30))
-        return (d2 - d2[np.arange(len(x)), at][:, None]) / (2 * apart[at]) <= reach + 1e-9
+        near = (d2 - d2[np.arange(len(x)), at][:, None]) / (2 * apart[at]) <= radius + 1e-9
+        away = np.sqrt(np.maximum(d2, 0))
+        return near & (away <= greatest + radius + 1e-7) & (away >= least - radius - 1e-7)
 
     def distances(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Of unit vectors to what lists and codes stand for, queries x members: by a table of each query's products with all codewords."""
@@ -108,11 +108,12 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def fitted(classes: DataFrame, sample: int) -> dict[int, Quantiser]:
-    """A quantiser for each dimension, from some `sample` of its classes, the ones with the least hashes: what exceeds the share stays with the executors."""
+    """A quantiser for each dimension, from some `sample` of its classes (fewer of SAMPLE_VALUES components, where those are fewer), the ones
+    with the least hashes: what exceeds the share stays with the executors."""
     sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
     if not sizes:
         return {}
-    share = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, min(1.0, sample / n))])
+    share = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, min(1.0, min(sample, SAMPLE_VALUES / d) / n))])
     drawn = classes.where(F.xxhash64("rep") / float(1 << 64) + 0.5 <= F.element_at(share, F.col("dim"))).select("dim", "rep", "embedding").toArrow().sort_by("rep")
     out = {}
     for d, n in sizes.items():
@@ -122,6 +123,14 @@ def fitted(classes: DataFrame, sample: int) -> dict[int, Quantiser]:
     return out
 
 
+def rings(coded: DataFrame, quantisers: dict[int, Quantiser]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each dimension the least and the greatest distance of a list's members to its centroid, by list; an empty list has none within reach."""
+    out = {d: (np.full(len(q.centroids), np.inf), np.full(len(q.centroids), -np.inf)) for d, q in quantisers.items()}
+    for r in coded.groupBy("dim", "list").agg(F.min("away").alias("least"), F.max("away").alias("greatest")).collect():  # as many rows as lists
+        out[r["dim"]][0][r["list"]], out[r["dim"]][1][r["list"]] = r["least"], r["greatest"]
+    return out
+
+
 def vector_links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label).
 
@@ -141,19 +150,31 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
     shared = spark.sparkContext.broadcast(quantisers)  # bounded by the sample, for each dimension
     radius = math.sqrt(2 - 2 * cosine) + 1e-7
 
-    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            dims = whole.column(3).to_numpy()
-            for d in np.unique(dims):
-                b, q = whole.filter(pa.array(dims == d)), shared.value[int(d)]
-                x = unit(stacked(b.column(2)))
-                at, codes, error, length = q.encode(x)
-                near = q.probes(x, at, radius * min(1.0, SIGMAS / math.sqrt(d)))
-                probe = [np.flatnonzero(p[: k + 1]).tolist() for p, k in zip(near, at)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(length), pa.array(probe, pa.list_(pa.int32()))], ["rep", "label", "embedding", "dim", "list", "codes", "error", "length", "probes"])
+    def by_dimension(each, names: list[str]):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                dims = whole.column("dim").to_numpy()
+                for d in np.unique(dims):
+                    b = whole.filter(pa.array(dims == d))
+                    yield pa.RecordBatch.from_arrays([*b.columns, *each(int(d), b, unit(stacked(b.column("embedding"))))], [*b.schema.names, *names])
+
+        return run
+
+    def code(d: int, b: pa.RecordBatch, x: np.ndarray) -> list[pa.Array]:
+        at, away, codes, error, length = shared.value[d].encode(x)
+        return [pa.array(at, pa.int32()), pa.array(away), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(length)]
+
+    def probe(d: int, b: pa.RecordBatch, x: np.ndarray) -> list[pa.Array]:
+        at = b.column("list").to_numpy()
+        near = shared.value[d].probes(x, at, radius, *ring.value[d])
+        return [pa.array([np.flatnonzero(p[: k + 1]).tolist() for p, k in zip(near, at)], pa.list_(pa.int32()))]
 
     label = rows.schema["label"].dataType.simpleString()
-    indexed = scratch.write(classes.select("rep", "label", "embedding", "dim").mapInArrow(index, f"rep long, label {label}, embedding array<double>, dim int, list int, codes binary, error double, length double, probes array<int>"))
+    schema = f"rep long, label {label}, embedding array<double>, dim int, list int, away double, codes binary, error double, length double"
+    coded = scratch.write(classes.select("rep", "label", "embedding", "dim").mapInArrow(by_dimension(code, ["list", "away", "codes", "error", "length"]), schema))
+    ring = spark.sparkContext.broadcast(rings(coded, quantisers))  # two numbers for each list
+    indexed = scratch.write(coded.mapInArrow(by_dimension(probe, ["probes"]), f"{schema}, probes array<int>"))
+    scratch.drop(coded)
     asked = indexed.select("label", "dim", "rep", F.col("list").alias("own"), "codes", "error", "length", F.explode("probes").alias("list"))
     # Blocks of each list, by counts that are added up before they are moved.
     at = ["label", "dim", "list"]

@@ -174,8 +174,27 @@ def test_vectors_in_blocks_at_the_threshold(spark, monkeypatch):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = sorted(map(tuple, pq_dedup.vector_links(vectors).collect()), key=repr)
     want = brute_vectors(vectors.collect())
-    assert sum(g[1] for g in got) >= 0.999 * sum(w[1] for w in want) > 0
-    assert all(g[1] <= w[1] for g, w in zip(got, want))
+    assert got == want and sum(w[1] for w in want) > 0
+
+
+@pytest.mark.parametrize("dim", [64, 384])
+@pytest.mark.parametrize("kind", ["arc", "subspace 3", "subspace 8"])
+def test_vectors_on_a_surface_lose_no_link(spark, kind, dim):
+    """Differences with a preferred direction, across which lists are cut."""
+    rng = np.random.default_rng(5)
+    n = 2000
+    if kind == "arc":
+        t = np.sort(rng.random(n)) * 20
+        x = np.stack([np.cos(t / 20 * 3), np.sin(t / 20 * 3), t / 40], 1)
+    else:
+        k = int(kind[-1])
+        x = rng.normal(size=(100, k))[np.arange(n) % 100] + rng.normal(size=(n, k)) * 0.3
+    x = x @ np.linalg.qr(rng.normal(size=(dim, x.shape[1])))[0].T
+    vectors = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, pq_dedup.vector_links(vectors).collect()), key=repr)
+    want = brute_vectors(vectors.collect())
+    assert sum(w[1] for w in want) > n
+    assert got == want
 
 
 def test_empty_table(no_docs):
