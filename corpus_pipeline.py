@@ -6,30 +6,35 @@ the next one's docs.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlens.llm import exact_dedup, language_id, lsh_forest, packing, secret_scan
-from spanlens.llm.common import Scratch, table
+from spanlens.llm.common import Scratch, free, passing, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, null ones included, go. A null lang becomes the predicted language, or stays null where none could be learned; all else stays as it is."""
     import public_tokenizers
 
-    scored = language_id.language_id(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    own = [c for c in docs.columns if c.lower() in ("lang_pred", "score", "held_out")]  # columns that the operator gives, too
+    aside = dict(zip(own, free(docs.columns, *own)))
+    scored = language_id.language_id(docs.withColumnsRenamed(aside), public_tokenizers.path("piece_bpe_32k.model"))
     kept = scored.where("lang_pred <> 'und' OR score IS NULL")
-    return kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit("und")))).select(docs.columns)
+    return kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit("und")))).select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def kept_rows(spark: SparkSession, docs: DataFrame, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """docs without the rows that groups doesn't keep. Rows are numbered once, in a written table that groups and the rows kept are read from."""
-    numbered = Scratch(spark, "numbered").numbered(docs, *docs.columns)
-    dropped = groups(numbered).where("NOT kept").select("uid")
-    return numbered.join(dropped, "uid", "left_anti").select(docs.columns)
+    """docs without the rows that groups doesn't keep. Rows are numbered once, in a written table that groups and the rows kept are
+    read from; what groups writes on its way is cleared as soon as the rows to be dropped are known."""
+    scratch, (number,) = Scratch(spark, "numbered"), free(docs.columns, "uid")
+    numbered = scratch.numbered(docs, *docs.columns, name=number)
+    with passing():
+        found = groups(numbered.select("doc_id", "text", F.col(number).alias("uid")))
+        dropped = scratch.write(found.where("NOT kept").select(F.col("uid").alias(number)))
+    return numbered.join(dropped, number, "left_anti").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,33 +59,12 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_last: list[Scratch] = []
-
-
-def clearing(stage: Stage) -> Stage:
-    """The stage, clearing the scratch tables of the one before: what that returned has been written by now and is read as docs."""
-
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for scratch in _last:
-            scratch.clear()
-        _last.clear()
-        Scratch.made = _last
-        try:
-            return stage(spark, docs, sf_dir)
-        finally:
-            Scratch.made = None
-
-    return run_stage
-
-
 STAGES = [
-    ("language_id", clearing(identify_language)),
-    ("exact_dedup", clearing(drop_copies)),
-    ("near_dedup", clearing(drop_near_copies)),
-    ("secret_scan", clearing(mask_secrets)),
-    ("packing", clearing(pack_sequences)),
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("packing", pack_sequences),
 ]
 
 #: The stages tokenize, fit a model and hash, which SQL can't express; tests hold run() against a brute-force version.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import gc
 import os
@@ -33,19 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: contextvars.ContextVar[list["Scratch"] | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[None]:
+    """Clears, at its end, the scratch tables of everything that was called inside, in this thread: what is to be read later must be written elsewhere by then."""
+    made: list[Scratch] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for scratch in made:
+            scratch.clear()
+
+
 class Scratch:
     """Tables of one run under the shared folder. A written table cuts lineage and outlives executors; drop() removes those
     that a later round has replaced, clear() all of them. A result may read them: it must be written before."""
 
-    #: Where several runs are to be cleared together, a list that new ones are put on.
-    made: list["Scratch"] | None = None
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        if Scratch.made is not None:
-            Scratch.made.append(self)
+        if (made := _made.get()) is not None:
+            made.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -65,10 +80,21 @@ class Scratch:
     def clear(self) -> None:
         self._delete(self.root)
 
-    def numbered(self, docs: DataFrame, *columns) -> DataFrame:
-        """The columns of docs with uid, a number for each row, written: a number given anew at each read follows the file
+    def numbered(self, docs: DataFrame, *columns, name: str = "uid") -> DataFrame:
+        """The columns of docs with a number for each row, written: a number given anew at each read follows the file
         splits, which follow the executors alive at planning, so it must be given once where several jobs rely on it."""
-        return self.write(docs.select(*columns, F.monotonically_increasing_id().alias("uid")))
+        return self.write(docs.select(*columns, F.monotonically_increasing_id().alias(name)))
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column has it (case aside, as Spark takes names)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -2,15 +2,17 @@
 
 A document's shingles are its runs of five words (all its words, if it has fewer). Each of the forest's
 trees is a prefix trie of labels, a label being DEPTH MinHashes; a node is a prefix, and documents meet in the
-nodes they share. A document's search starts at full labels and shortens the prefix until the chance to
-meet a link of the least similarity that its number of shingles allows reaches the target recall: short texts
-stop early, as with few shingles only high similarities are possible, and some can have no link at all. A round for
-each depth takes the documents that end there, and those longer ones that they could be linked with.
-
-Two documents that meet in several trees are compared in the first of them only. A node's members are compared by
-their whole labels first, whose share of equal MinHashes estimates the similarity; texts are moved only to the nodes
-where a document has a likely link, and compared shingle by shingle there. Members of a large node are dealt to
-blocks, each pair of blocks being a unit of its own. A unit gives a count of links for each document and a spanning
+nodes they share. A document's prefix is shortened from the full label until the chance to meet a link of the least
+similarity that its number of shingles allows reaches the target recall: that depth follows from the number of shingles,
+the trees and the target, not from what was met on the way. Short texts stop early, as with few shingles only high
+similarities are possible, and some can have no link at all. A round for each depth takes the documents that end there,
+and those longer ones that they could be linked with.
+
+Two documents that meet in several trees are compared in the first of them only: a pair is settled as soon as the two share
+a node of an earlier tree, which is seen from the nodes' numbers, and only what is left is compared by whole labels,
+whose share of equal MinHashes estimates the similarity. Texts are moved only to the nodes where a document has a likely
+link, and compared shingle by shingle there. Members of a large node are dealt to blocks bounded in members and in shingles,
+each pair of blocks being a unit of its own. A unit gives a count of links for each document and a spanning
 forest of its links, so output grows with documents and not with pairs. Texts with the same shingles are one class,
 verified once and counted with its size.
 """
@@ -34,8 +36,8 @@ TREES, DEPTH = 20, 6
 TARGET_RECALL = 0.9999
 #: How far the labels' estimate may lie below the wanted similarity: over five standard deviations.
 MARGIN = 0.2
-#: Members of a node's block, and members that a task is given at once, on average.
-BLOCK_DOCS, GROUP_DOCS = 1024, 512
+#: Members of a node's block, and their shingles, on average; members that a task is given at once to compare labels, and shingles to compare texts.
+BLOCK_DOCS, BLOCK_SHINGLES, GROUP_DOCS, GROUP_SHINGLES = 1024, 1 << 19, 2048, 1 << 20
 #: Numbers of shingles whose possible similarities are looked at one by one; above, any is possible.
 COUNTED = 64
 
@@ -244,13 +246,13 @@ def _units(classes: DataFrame, scratch: Scratch, similarity: float, trees: int,
     own, rounds = search_depths(similarity, trees, depth, target)
     at = F.least("n", F.lit(len(own) - 1)).cast("int") + 1
     of = lambda lists: F.element_at(F.array(*lists), at)
-    searched = classes.select("rep", "label", of([F.lit(k) for k in own]).alias("own"), F.explode(of([F.array(*map(F.lit, ks)).cast("array<int>") for ks in rounds])).alias("k"))
-    tree = searched.select("rep", "own", "k", "label", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    searched = classes.select("rep", "label", "n", of([F.lit(k) for k in own]).alias("own"), F.explode(of([F.array(*map(F.lit, ks)).cast("array<int>") for ks in rounds])).alias("k"))
+    tree = searched.select("rep", "own", "k", "label", "n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     prefix = F.substring("label", F.col("tree") * (4 * depth) + 1, 4 * F.col("k"))
-    entries = tree.select("rep", "own", "k", "tree", F.concat(F.encode(F.concat_ws(":", "tree", "k", F.lit("")), "utf-8"), prefix).alias("node"))
-    nodes = scratch.write(entries.groupBy(F.col("node").alias("at")).agg(F.count("*").alias("m")).where("m > 1"))
+    entries = tree.select("rep", "own", "k", "tree", "n", F.concat(F.encode(F.concat_ws(":", "tree", "k", F.lit("")), "utf-8"), prefix).alias("node"))
+    nodes = scratch.write(entries.groupBy(F.col("node").alias("at")).agg(F.count("*").alias("m"), F.sum("n").alias("size")).where("m > 1"))
     met = entries.join(nodes.hint("merge"), F.col("node") == F.col("at"))
-    n_blocks = F.ceil(F.col("m") / BLOCK_DOCS).cast("int")
+    n_blocks = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.least("m", F.col("size") / BLOCK_SHINGLES))).cast("int")
     dealt = met.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
@@ -264,17 +266,26 @@ def _met(unit: pa.Table, similarity: float, trees: int, depth: int) -> tuple[np.
     label = np.frombuffer(b"".join(unit["label"].to_pylist()), ">u4").astype(np.uint32).reshape(len(unit), trees, depth)
     n, own, rep = unit["n"].to_numpy(), unit["own"].to_numpy(), unit["rep"].to_numpy()
     k, tree = unit["k"][0].as_py(), unit["tree"][0].as_py()
+    node = [np.unique(np.ascontiguousarray(label[:, t, :k]).view(f"V{4 * k}")[:, 0], return_inverse=True)[1].reshape(-1).astype(np.int32) for t in range(tree + 1)]
     out = np.zeros((len(left), len(right)), bool)
-    step = max(1, (4 << 20) // max(1, len(right) * trees * depth))
+    step = max(1, (4 << 20) // max(1, len(right)))
     for i in range(0, len(left), step):
         a = left[i : i + step]
-        same = label[a][:, None] == label[right][None]
-        meet = same[..., :k].all(3)
-        first = meet[:, :, tree] & ~meet[:, :, :tree].any(2)
-        fits = np.minimum(n[a][:, None], n[right]) >= similarity * np.maximum(n[a][:, None], n[right]) - 1e-9
-        ends = np.maximum(own[a][:, None], own[right]) == k
-        twice = np.isin(a, right)[:, None] & np.isin(right, left)[None] & (rep[a][:, None] >= rep[right])  # inside one block a pair counts once
-        out[i : i + step] = first & fits & ends & ~twice & (same.mean((2, 3)) >= similarity - MARGIN) & (rep[a][:, None] != rep[right])
+        open_ = node[tree][a][:, None] == node[tree][right]
+        for t in range(tree):
+            open_ &= node[t][a][:, None] != node[t][right]
+            if not open_.any():
+                break
+        at, to = np.nonzero(open_)
+        p, q = a[at], right[to]
+        fine = np.minimum(n[p], n[q]) >= similarity * np.maximum(n[p], n[q]) - 1e-9
+        fine &= (np.maximum(own[p], own[q]) == k) & (rep[p] != rep[q])
+        fine &= ~(np.isin(p, right) & np.isin(q, left) & (rep[p] >= rep[q]))  # inside one block a pair counts once
+        at, to, p, q = at[fine], to[fine], p[fine], q[fine]
+        for j in range(0, len(at), 1 << 15):
+            pairs = slice(j, j + (1 << 15))
+            alike = (label[p[pairs]] == label[q[pairs]]).mean((1, 2)) >= similarity - MARGIN
+            out[i + at[pairs][alike], to[pairs][alike]] = True
     return left, right, out
 
 
@@ -287,8 +298,8 @@ def _by_unit(group: pa.Table) -> Iterator[pa.Table]:
             yield group.slice(i, j - i).combine_chunks()
 
 
-def _grouped(rows: DataFrame, count: int) -> DataFrame:
-    return rows.withColumn("task", F.pmod("unit", F.lit(max(1, -(-count // GROUP_DOCS)))).cast("int"))
+def _grouped(rows: DataFrame, tasks: float) -> DataFrame:
+    return rows.withColumn("task", F.pmod("unit", F.lit(max(1, math.ceil(tasks)))).cast("int"))
 
 
 def _likely(units: DataFrame, classes: DataFrame, similarity: float, trees: int, depth: int) -> DataFrame:
@@ -307,7 +318,7 @@ def _likely(units: DataFrame, classes: DataFrame, similarity: float, trees: int,
         return pa.concat_tables(kept) if kept else group.select(names).slice(0, 0)
 
     schema = full.select(*names).schema
-    return _grouped(full, units.count()).groupBy("task").applyInArrow(run, schema)
+    return _grouped(full, units.count() / GROUP_DOCS).groupBy("task").applyInArrow(run, schema)
 
 
 def _verified(units: DataFrame, base: DataFrame, similarity: float, trees: int, depth: int) -> DataFrame:
@@ -317,15 +328,13 @@ def _verified(units: DataFrame, base: DataFrame, similarity: float, trees: int,
     def run(group: pa.Table) -> pa.Table:
         own_memory("lsh_forest", _single.clear)
         u, v, kind = [], [], []
-        sets: dict[int, np.ndarray] = {}
         for unit in _by_unit(group):
             left, right, met = _met(unit, similarity, trees, depth)
             if not met.any():
                 continue
             rep, copies, text = unit["rep"].to_numpy(), unit["copies"].to_numpy(), unit["text"]
-            for i in range(len(rep)):
-                if rep[i] not in sets:
-                    sets[rep[i]] = shingles(text[i].as_py())
+            sets = {rep[i]: shingles(text[i].as_py()) for i in np.union1d(left[met.any(1)], right[met.any(0)])}
+            left, right, met = left[met.any(1)], right[met.any(0)], met[met.any(1)][:, met.any(0)]
             count, found = np.zeros(len(rep), np.int64), []
             for i, js in verify([sets[x] for x in rep[left]], [sets[x] for x in rep[right]], met, similarity):
                 i, js = left[i], right[js]
@@ -340,7 +349,8 @@ def _verified(units: DataFrame, base: DataFrame, similarity: float, trees: int,
             kind += [0] * len(linked) + [1] * len(edges)
         return pa.table({"kind": pa.array(kind, pa.int32()), "u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return _grouped(full, units.count()).groupBy("task").applyInArrow(run, "kind int, u long, v long")
+    size = units.agg(F.sum("n")).first()[0] or 0
+    return _grouped(full, size / GROUP_SHINGLES).groupBy("task").applyInArrow(run, "kind int, u long, v long")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

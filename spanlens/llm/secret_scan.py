@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shared_dir, table, text_or_empty
+from .common import Scratch, free, shared_dir, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -142,8 +142,9 @@ def count_of(spans: Column, kind: str) -> Column:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
     """docs with each maximal run of found spans replaced by a mark; n_chars, where present, follows. Texts without findings stay as they are, null included."""
     found, _ = secret_scan(docs, None, rules)
-    hits = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("blob").alias("_hit"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hit"])
-    text, spans = F.col("text"), F.col("_spans")
+    blob, id_, hit, found_spans = free(docs.columns, "blob", "id", "hit", "spans")
+    hits = found.where(F.size("spans") > 0).select(F.col("doc_id").alias(id_), F.col("blob").alias(hit), F.col("spans").alias(found_spans)).dropDuplicates([id_, hit])
+    text, spans = F.col("text"), F.col(found_spans)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -153,7 +154,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
         return F.when((s["start"] >= acc["at"]) | (acc["at"] == 0), fresh).otherwise(longer)
 
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
-    met = docs.withColumn("_blob", F.unhex(F.sha2(F.encode(text_or_empty(), "utf-8"), 256))).join(hits, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_blob") == F.col("_hit")), "left")
+    met = docs.withColumn(blob, F.unhex(F.sha2(F.encode(text_or_empty(), "utf-8"), 256))).join(hits, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(blob) == F.col(hit)), "left")
     out = met.withColumn("text", F.when(spans.isNotNull(), clean).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(spans.isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

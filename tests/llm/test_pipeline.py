@@ -63,6 +63,24 @@ def test_stages_return_the_columns_of_documents(spark, sf, odd_docs, no_docs):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
 
 
+def test_columns_of_any_name_pass_through(spark, sf):
+    """Columns that operators use themselves stay as they are, in every stage, while two pipelines run in turn."""
+    names = ["uid", "score", "lang_pred", "held_out", "_id", "_hit", "_spans", "_blob", "blob", "n", "label", "rep", "kept", "grp", "digit"]
+    words = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(4)]
+    rows = [(i, t, None, None, len(t), *(f"{c}{i}" for c in names)) for i, t in enumerate([*words, words[0], words[1] + " more", "token = 24be64439e3e49cf46b2d7c9"])]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars int", *(f"{c} string" for c in names)]))
+    both = [docs, docs.where("doc_id <> 3")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        results = [stage(spark, d, sf) for d in both]
+        scratch = Scratch(spark, "written")
+        both = [scratch.write(r) for r in results]
+        for d in both:
+            assert d.columns == docs.columns, name
+            assert all(r[c] == f"{c}{r.doc_id}" for r in d.collect() for c in names), name
+    assert [sorted(r.doc_id for r in d.collect()) for d in both] == [[1, 2, 3, 4, 6], [1, 2, 4, 6]]
+    assert [r.text for r in both[0].where("doc_id = 6").collect()] == ["[secret]"]
+
+
 def test_copies_go_in_other_splits(spark, sf, shifting):
     """The rows that stay are those whose text has no other copy with a larger doc_id, or a smaller one for near copies."""
     texts = [" ".join(f"w{i % 30}x{j}" for j in range(40)) for i in range(45)]
