@@ -50,3 +50,30 @@ def all_matches_sql(text: str, pattern: str, needs: str | None = None) -> str:
     pairs = f"zip_with(transform(split({t}, {p}, -1), g -> char_length(g)), regexp_extract_all({t}, {p}, 0), (g, h) -> named_struct('gap', g, 'hit', h))"
     gate = f"{t} RLIKE {literal(needs)} AND " if needs else ""
     return f"CASE WHEN {gate}{t} RLIKE {p} THEN aggregate({pairs}, named_struct('at', 0, 'out', {none}), (acc, x) -> {step}, acc -> acc.out) ELSE {none} END"
+
+
+def let(value: str, name: str, body: str) -> str:
+    """SQL for body with name standing for value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def places_sql(lengths: str) -> str:
+    """SQL for the sum of what comes before each element of an array of whole numbers. Sums run over blocks of the root of its size
+    and inside them, so a long array costs its size times that root at most."""
+    block = "CAST(floor(i / s.b) AS INT)"
+    sums = "transform(sequence(0, greatest(0, CAST(floor((size(n) - 1) / b) AS INT))), k -> aggregate(slice(n, k * b + 1, b), 0, (a, x) -> a + x))"
+    carried = f"aggregate({sums}, named_struct('at', 0, 'out', CAST(array() AS array<int>)), (acc, x) -> named_struct('at', acc.at + x, 'out', concat(acc.out, array(acc.at))), acc -> acc.out)"
+    inside = f"transform(s.n, (x, i) -> s.c[{block}] + aggregate(slice(s.n, {block} * s.b + 1, i - {block} * s.b), 0, (a, y) -> a + y))"
+    return let(lengths, "n", let("greatest(1, CAST(ceil(sqrt(size(n))) AS INT))", "b", let(f"named_struct('n', n, 'b', b, 'c', {carried})", "s", inside)))
+
+
+def row_matches_sql(text: str, pattern: str, group: int = 0) -> str:
+    """SQL for the matches of a pattern that is itself an expression, with offsets as in all_matches; group picks what `match` holds, the offsets being the whole match's."""
+    hits, cut = f"regexp_extract_all({text}, {pattern}, 0)", f"split({text}, {pattern}, -1)"
+    got = f"regexp_extract_all({text}, {pattern}, {group})"
+    sized = f"transform({cut}, g -> char_length(g))"
+    place = "s.at[i] + s.gaps[i]"
+    each = f"transform(s.hits, (h, i) -> named_struct('start', {place} + 1, 'end', {place} + char_length(h), 'match', s.got[i]))"
+    at = places_sql("zip_with(gaps, hits, (g, h) -> g + coalesce(char_length(h), 0))")
+    found = let(sized, "gaps", let(hits, "hits", let(f"named_struct('gaps', gaps, 'hits', hits, 'got', {got}, 'at', {at})", "s", each)))
+    return f"IF({text} RLIKE {pattern}, {found}, CAST(array() AS {MATCHES}))"

@@ -115,3 +115,21 @@ def hl7_people(rows: DataFrame, key: str = "row") -> DataFrame:
     first = F.when(F.col("kind") == "name", 0).otherwise(1)
     identifier = F.when((F.col("kind") == "clinician") & (F.col("k") == 0), F.when(number, "other_id")).when(named & F.col("k").between(first, first + 2), "name")
     return parts.withColumn("identifier", identifier).where("identifier IS NOT NULL").select(key, "span_start", F.expr("span_start + char_length(value) - 1").alias("span_end"), "value", "identifier")
+
+
+def hl7_component(text: Column, start: Column, end: Column) -> Column:
+    """The identifier of the component of a person's HL7 field that the span is exactly; else null."""
+    before = F.split(F.substring(text, F.lit(1), start - 1), "\n", -1)
+    line = F.element_at(before, -1)
+    rest = F.substring(text, end + 1, F.lit(2))
+    fields = F.split(line, "[|]", -1)
+    component = F.size(F.split(F.element_at(F.split(F.element_at(fields, -1), "~", -1), -1), r"\^", -1)) - 1
+    value = F.substring(text, start, end - start + 1)
+    place = F.concat(F.substring(line, 1, 3), F.lit("-"), (F.size(fields) - 1).cast("string"))
+    segment = line.rlike(r"\A[A-Z][A-Z0-9]{2}[|]") & ~line.startswith("MSH")
+    whole = line.rlike(r"[|~^]\z") & rest.rlike(r"\A(?:[|~^\n]|\r?\z|\r\n)") & ~value.rlike(r"[|~^\n]")
+    named = value.rlike(r"\A(?:[A-Za-z][A-Za-z '’.-]*[A-Za-z.]|[A-Za-z])\z")
+    number = value.rlike(r"\A[A-Za-z0-9][A-Za-z0-9./-]*\z") & value.rlike("[0-9]")
+    person = F.when(place.isin(*HL7_NAMES) & component.between(0, 2) & named, "name")
+    clinician = F.when(place.isin(*HL7_CLINICIANS), F.when((component == 0) & number, "other_id").when(component.between(1, 3) & named, "name"))
+    return F.when(text.contains("|") & segment & whole, F.coalesce(person, clinician))

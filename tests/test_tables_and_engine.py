@@ -21,6 +21,8 @@ CERTAIN = [
     ("WeChat ID linzq_92", "linzq_92", "other_id", "handle_keyword"), ("Singapore 560123", "560123", "postal_code", "postal_keyword"), ("12 Bedok North Ave 3, 560123", "560123", "postal_code", "postal_after_address"), ("MRN: 4402118", "4402118", "mrn", "id_keyword"),
     ("BB_TXN=XM-26-09-3381", "XM-26-09-3381", "other_id", "kv_id_key"), ("PAT_MRN=4402118", "4402118", "mrn", "kv_id_key"), ("Lab No AB-2611", "AB-2611", "other_id", "ref_keyword"), ("NRIC ending 412D", "412D", "national_id", "nric_tail"),
     ("account no. 250-03851-0", "250-03851-0", "other_id", "account_keyword"), ("see IMG_4410.JPG", "IMG_4410.JPG", "photo", "image_file"), ("nine one seven seven zero four two six", "nine one seven seven zero four two six", "phone", "spoken_phone"),
+    ("ORDER    ENTERED   BY        ITEM\n7718230  22/09     lowjm     CT abdomen", "lowjm", "other_id", "login_column"), ("ORDER    ENTERED   BY        ITEM\n7718230  22/09     lowjm     abdomen", "abdomen", None, None),
+    ("MSH|x\nPID|1||44021||TAN^MEI LING\n", "TAN", "name", "hl7_person"), ("PID|1||44021||TAN^MEI LING", "MEI LING", "name", "hl7_person"), ("PID|1||44021||TAN^MEI LING", "MEI", None, None), ("PV1|1|I|||||S123^LIM^KAI~S9^NG^WEI\r\n", "S9", "other_id", "hl7_person"),
     ("PLT 245000", "245000", None, None), ("a 412D", "412D", None, None),
 ]
 
