@@ -117,19 +117,19 @@ def with_outliers(rows: DataFrame) -> DataFrame:
     return rows.join(odd, "row", "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
 
 
-def scan(rows: DataFrame, backend: Backend, judge: Judge = Judge(), include_dropped: bool = False, extra: DataFrame | None = None) -> DataFrame:
+def scan(rows: DataFrame, backend: Backend, judge: Judge = Judge(), include_dropped: bool = False, extra: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
     """Span records of rows (row, text, column): row, span_start, span_end, match, type, identifier, decision, confidence, reasons, sources, fast_path, sensitivity, context.
 
     Spans that code is sure of are accepted without a question, and candidates strictly inside them aren't asked
     about. A span inside another of equal or higher decision is left out; partial overlaps stay. A backend's failure
     is the job's failure: no row is skipped. extra: spans of the caller (row, span_start, span_end, type, source),
-    from another engine for example; those outside their text are left out. Where dropped spans are included,
+    from another engine for example; those outside their text are left out. words (word), a model's vocabulary, turns on the token sweep. Where dropped spans are included,
     they stay unresolved."""
     stage = Staging(rows.sparkSession, "engine")
     if extra is not None:
         within = F.col("span_start").between(1, F.col("span_end")) & (F.col("span_end") <= F.col("_size"))
         extra = extra.join(rows.select("row", F.char_length("text").alias("_size")), "row").where(within).drop("_size")
-    found = stage.write(propose(rows.select("row", "text"), extra=extra))
+    found = stage.write(propose(rows.select("row", "text"), extra=extra, words=words))
     where = [F.col(c) for c in ("text", "span_start", "span_end")]
     certain = F.coalesce(rule_certain(*where), column_certain(*where, F.col("column")))
     known = stage.write(found.join(with_outliers(rows.select("row", "text", "column")), "row").select("*", certain.alias("sure"), family_in_context(*where, F.col("column")).alias("family")))

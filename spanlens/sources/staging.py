@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Staging:
-    """A run's own folder under spark.checkpoint.dir; where that is unset, as in tests, under a temporary one that is then set."""
+    """A run's own folder under spark.checkpoint.dir; where that is unset and Spark is local, as in tests, under a temporary one that is then set."""
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
