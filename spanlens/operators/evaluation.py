@@ -2,7 +2,7 @@
 
 Tables: docs (doc, text); gold (doc, span_start, span_end, label); judged candidates (doc, span_start, span_end, category,
 confidence, fast_path, sources); records (doc, span_start, span_end, identifier, decision, ...). Offsets count from 1
-and are inclusive. Every comparison is an equi-join on the document with an overlap condition.
+and are inclusive. Overlaps are looked up in bins of positions, so a long document is no task of its own.
 """
 
 from __future__ import annotations
@@ -10,50 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.matching import unicode_rules
 from .calibration import outcome
+from .intervals import pairs, split
 from .judge import IDENTIFIERS, SENSITIVE, decide
-from .propose import EVERY_SHAPE
-from .scoring import DIRECT, ratio
+from .questions import group_of
+from .scoring import DIRECT, ratio, shown
 
 BINS = 10
 
 
-def forward_reverse(options: Column) -> Column:
-    """Two orders of an array of options: as given and reversed."""
-    return F.array(options, F.reverse(options))
-
-
-def sensitive_term_in(text: Column) -> Column:
-    """Whether the text holds a term of the sensitive-health lexicon."""
-    hits = [text.rlike(("(?i)" if s.any_case else "") + unicode_rules(s.pattern)) for s in EVERY_SHAPE if s.source.startswith("lexicon:")]
-    return F.coalesce(F.exists(F.array(*hits), lambda h: h), F.lit(False))
-
-
-def call_of(category: Column, sources: Column) -> Column:
-    """What a judgment called a span: identifier, none, or a sensitive label, by whether the lexicon proposed the span."""
-    by_lexicon = F.coalesce(F.exists(sources, lambda s: s.startswith("lexicon:")), F.lit(False))
-    return (
-        F.when(category.isin(*SENSITIVE), F.when(by_lexicon, "shi_lexicon").otherwise("shi_other"))
-        .when(category.isNull() | (category == "none"), "none").otherwise("identifier")
-    )
-
-
-def _sided(gold: DataFrame) -> DataFrame:
-    return gold.select(F.col("doc").alias("g_doc"), F.col("span_start").alias("g_start"), F.col("span_end").alias("g_end"), F.col("label").alias("g_label"))
-
-
-def _meets() -> Column:
-    return (F.col("doc") == F.col("g_doc")) & (F.col("span_start") <= F.col("g_end")) & (F.col("g_start") <= F.col("span_end"))
-
-
 def judged_candidates(gold: DataFrame, judged: DataFrame) -> DataFrame:
     """The candidates that calibration applies to, with correct and call. One that overlaps only gold of other labels is left out, and
     so is a failed judgment, which has no confidence. Repeated rows count each."""
-    called = judged.where("confidence IS NOT NULL").withColumn("call", F.when(F.coalesce("fast_path", F.lit(False)), "fast_path").otherwise(call_of(F.col("category"), F.col("sources"))))
-    g = _sided(gold)
-    right = called.join(g.where(F.col("g_label").isin(*IDENTIFIERS, *SENSITIVE)), _meets(), "left_semi").withColumn("correct", F.lit(True))
-    return right.unionByName(called.join(g, _meets(), "left_anti").withColumn("correct", F.lit(False)))
+    called = judged.where("confidence IS NOT NULL").withColumn("call", F.when(F.coalesce("fast_path", F.lit(False)), "fast_path").otherwise(group_of(F.col("category"), F.col("sources"))))
+    right, _ = split(called, gold.where(F.col("label").isin(*IDENTIFIERS, *SENSITIVE)), "doc")
+    _, alone = split(called, gold, "doc")
+    return right.withColumn("correct", F.lit(True)).unionByName(alone.withColumn("correct", F.lit(False)))
 
 
 def calibration_by_call(candidates: DataFrame, bins: int = BINS) -> DataFrame:
@@ -68,25 +40,26 @@ def gold_outcomes(docs: DataFrame, gold: DataFrame, records: DataFrame) -> DataF
     """gold with flagged, auto, partial, label_ok: whether one record that isn't dropped holds all its letters and digits, one that is
     accepted does, some only overlap, and one that holds it has its label. Repeated gold counts each."""
     shown = records.where("decision <> 'not_identifier'").select(F.col("doc").alias("r_doc"), F.col("span_start").alias("r_start"), F.col("span_end").alias("r_end"), "identifier", "decision")
-    alnum = r"(?U)[\p{L}\p{N}]"
-    placed = gold.withColumn("gid", F.monotonically_increasing_id()).join(docs.select("doc", "text"), "doc")
+    alnum, keys = r"(?U)[\p{L}\p{N}]", ["doc", "span_start", "span_end", "label"]
+    placed = gold.select(*keys).distinct().join(docs.select("doc", "text"), "doc")
     m = F.substring(F.col("text"), F.col("span_start"), F.col("span_end") - F.col("span_start") + 1)
     some = m.rlike(alnum)
     before = F.char_length(F.regexp_extract(m, r"(?Us)\A[^\p{L}\p{N}]*", 0))
     after = F.char_length(F.regexp_extract(m, r"(?Us)[^\p{L}\p{N}]*\z", 0))
     placed = placed.withColumn("need_start", F.when(some, F.col("span_start") + before).otherwise(F.col("span_start"))).withColumn("need_end", F.when(some, F.col("span_end") - after).otherwise(F.col("span_end"))).drop("text")
-    near = (F.col("doc") == F.col("r_doc")) & (F.col("r_start") <= F.col("span_end")) & (F.col("span_start") <= F.col("r_end"))
+    met = pairs(placed, shown, ("doc", "r_doc"), ("span_start", "span_end", "r_start", "r_end"))
     holds = (F.col("r_start") <= F.col("need_start")) & (F.col("need_end") <= F.col("r_end"))
-    ever = lambda c: F.coalesce(F.max(F.coalesce(c, F.lit(False))), F.lit(False))
-    met = placed.join(shown, near, "left").groupBy("gid", "doc", "span_start", "span_end", "label").agg(
-        ever(holds).alias("flagged"), ever(holds & (F.col("decision") == "identifier")).alias("auto"), ever(F.col("r_doc").isNotNull()).alias("seen"), ever(holds & (F.col("identifier") == F.col("label"))).alias("label_ok"))
-    return met.select("doc", "span_start", "span_end", "label", "flagged", "auto", (F.col("seen") & ~F.col("flagged")).alias("partial"), "label_ok")
+    ever = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    found = met.groupBy(*keys).agg(ever(holds).alias("flagged"), ever(holds & (F.col("decision") == "identifier")).alias("auto"), F.lit(True).alias("seen"), ever(holds & (F.col("identifier") == F.col("label"))).alias("label_ok"))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    whole = gold.join(docs.select("doc"), "doc", "left_semi").join(found, keys, "left")
+    return whole.select(*keys, no("flagged").alias("flagged"), no("auto").alias("auto"), (no("seen") & ~no("flagged")).alias("partial"), no("label_ok").alias("label_ok"))
 
 
 def record_outcomes(gold: DataFrame, records: DataFrame) -> DataFrame:
     """The records that aren't dropped, with gold: whether any gold overlaps them."""
-    shown, g = records.where("decision <> 'not_identifier'"), _sided(gold)
-    return shown.join(g, _meets(), "left_semi").withColumn("gold", F.lit(True)).unionByName(shown.join(g, _meets(), "left_anti").withColumn("gold", F.lit(False)))
+    met, alone = split(records.where("decision <> 'not_identifier'"), gold, "doc")
+    return met.withColumn("gold", F.lit(True)).unionByName(alone.withColumn("gold", F.lit(False)))
 
 
 def summary(docs: DataFrame, gold: DataFrame, records: DataFrame, direct: tuple[str, ...] = DIRECT) -> DataFrame:
@@ -126,9 +99,8 @@ def false_positives(gold: DataFrame, records: DataFrame, top: int = 25) -> DataF
 
 def score_more(docs: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row: fp and fp_on_negative_notes, the predictions that overlap no gold, and those of them in documents that have none."""
-    p, g = predicted.where(F.col("label").isNull() | ~F.col("label").isin(*SENSITIVE)), _sided(gold)
-    wrong = p.join(g, _meets(), "left_anti")
-    negative = wrong.join(g.select("g_doc").distinct(), F.col("doc") == F.col("g_doc"), "left").withColumn("negative", F.col("g_doc").isNull())
+    _, wrong = split(shown(predicted), gold, "doc")
+    negative = wrong.join(gold.select(F.col("doc").alias("g_doc")).distinct(), F.col("doc") == F.col("g_doc"), "left").withColumn("negative", F.col("g_doc").isNull())
     return negative.join(docs.select("doc"), "doc", "left_semi").agg(F.count("*").alias("fp"), F.count_if("negative").alias("fp_on_negative_notes"))
 
 

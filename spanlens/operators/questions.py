@@ -120,11 +120,11 @@ def disagreement(p_yes: Column, p_identifier: Column, disagree_at: float | None)
 
 
 def holds_sensitive_term(match: Column) -> Column:
-    """Whether a span holds a term of the sensitive-health lexicon."""
+    """Whether a span, or any text, holds a term of the sensitive-health lexicon; a null doesn't."""
     found = F.lit(False)
     for shape in (*lexicon_shapes(), ASSAULT):
         found = found | match.rlike("(?i)" + unicode_rules(shape.pattern))
-    return found
+    return F.coalesce(found, F.lit(False))
 
 
 def name_in_slot(category: Column, type_: Column, sources: Column, match: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import pairs, split
 from .judge import IDENTIFIERS, SENSITIVE
 from .ranks import running
 
@@ -14,26 +15,30 @@ GATE = {"direct_recall": 0.98, "precision": 0.90, "ece": 0.05, "f1": 0.889}
 Z95 = 1.959964
 
 
-def overlap(a: str, b: str) -> Column:
-    """Whether the closed intervals (a_start, a_end) and (b_start, b_end) meet."""
-    return (F.col(f"{a}_start") <= F.col(f"{b}_end")) & (F.col(f"{b}_start") <= F.col(f"{a}_end"))
-
-
-def _named(spans: DataFrame, side: str) -> DataFrame:
-    return spans.select(F.col("doc").alias(f"{side}_doc"), F.col("span_start").alias(f"{side}_start"), F.col("span_end").alias(f"{side}_end"), F.col("label").alias(f"{side}_label"))
-
-
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def shown(predicted: DataFrame) -> DataFrame:
+    """Predictions that don't call a sensitive label."""
+    return predicted.where(F.col("label").isNull() | ~F.col("label").isin(*SENSITIVE))
+
+
 def gold_hits(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """gold (doc, span_start, span_end, label, ...) with hit: whether a prediction that is no sensitive label overlaps it."""
-    p = _named(predicted.where(F.col("label").isNull() | ~F.col("label").isin(*SENSITIVE)), "p")
-    g = gold.withColumn("g_start", F.col("span_start")).withColumn("g_end", F.col("span_end"))
-    on = (F.col("doc") == F.col("p_doc")) & overlap("g", "p")
-    yes = g.join(p, on, "left_semi").withColumn("hit", F.lit(True))
-    return yes.unionByName(g.join(p, on, "left_anti").withColumn("hit", F.lit(False))).drop("g_start", "g_end")
+    yes, no = split(gold, shown(predicted), "doc")
+    return yes.withColumn("hit", F.lit(True)).unionByName(no.withColumn("hit", F.lit(False)))
+
+
+def _right_and_wrong(predicted: DataFrame, gold: DataFrame, view: tuple[str, ...]) -> DataFrame:
+    """One row, tp and fp: predictions that overlap gold of the view, and those that overlap no gold at all."""
+    tp, _ = split(predicted, gold.where(F.col("label").isin(*view)), "doc")
+    _, fp = split(predicted, gold, "doc")
+    return tp.agg(F.count("*").alias("tp")).crossJoin(fp.agg(F.count("*").alias("fp")))  # one row each
+
+
+def _f1(recall: Column, precision: Column) -> Column:
+    return F.when((recall > 0) & (precision > 0), 2 * precision * recall / (precision + recall)).otherwise(0.0)
 
 
 def span_score(gold: DataFrame, predicted: DataFrame, view: tuple[str, ...] = IDENTIFIERS) -> DataFrame:
@@ -42,15 +47,9 @@ def span_score(gold: DataFrame, predicted: DataFrame, view: tuple[str, ...] = ID
     Predictions of sensitive labels don't count. A prediction that overlaps gold of the view is a true positive, one
     that overlaps only other gold is neutral, any other is a false positive."""
     seen = gold_hits(gold.where(F.col("label").isin(*view)), predicted).agg(F.count("*").alias("gold"), F.count_if("hit").alias("hits"))
-    p = predicted.where(F.col("label").isNull() | ~F.col("label").isin(*SENSITIVE)).withColumn("p_start", F.col("span_start")).withColumn("p_end", F.col("span_end"))
-    g = _named(gold, "g")
-    near = (F.col("doc") == F.col("g_doc")) & overlap("p", "g")
-    tp = p.join(g.where(F.col("g_label").isin(*view)), near, "left_semi").agg(F.count("*").alias("tp"))
-    fp = p.join(g, near, "left_anti").agg(F.count("*").alias("fp"))
-    one = seen.crossJoin(tp).crossJoin(fp)  # three tables of one row
+    one = seen.crossJoin(_right_and_wrong(shown(predicted), gold, view))
     recall, precision = ratio(F.col("hits"), F.col("gold")), ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    f1 = F.when((recall > 0) & (precision > 0), 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return one.select("gold", "hits", F.round(recall, 4).alias("recall"), "tp", "fp", F.round(precision, 4).alias("precision"), F.round(f1, 4).alias("f1"))
+    return one.select("gold", "hits", F.round(recall, 4).alias("recall"), "tp", "fp", F.round(precision, 4).alias("precision"), F.round(_f1(recall, precision), 4).alias("f1"))
 
 
 def per_label_recall(gold: DataFrame, predicted: DataFrame, view: tuple[str, ...] = IDENTIFIERS) -> DataFrame:
@@ -59,31 +58,81 @@ def per_label_recall(gold: DataFrame, predicted: DataFrame, view: tuple[str, ...
     return hits.groupBy("label").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits")).withColumn("recall", F.round(ratio(F.col("hits"), F.col("n")), 4))
 
 
+def islands(spans: DataFrame, key: str = "doc") -> DataFrame:
+    """key, start, end of the stretches that spans cover together: touching and overlapping ones are one."""
+    order = Window.partitionBy(key).orderBy("span_start", "span_end")
+    ended = F.max("span_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    flat = spans.where("span_start <= span_end").select(key, "span_start", "span_end").distinct()
+    numbered = flat.withColumn("new", F.coalesce((F.col("span_start") > ended + 1).cast("int"), F.lit(0))).withColumn("island", F.sum("new").over(order))
+    return numbered.groupBy(key, "island").agg(F.min("span_start").alias("start"), F.max("span_end").alias("end")).drop("island")
+
+
 def coverage(docs: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """gold with covered: every letter or digit of it lies in some prediction of the document.
+    """gold with covered: every letter or digit of it lies in some prediction of the document. Gold of unknown documents is left out.
+
+    What a span holds beside the stretches that predictions cover is looked at once for each different span."""
+    held = islands(shown(predicted)).select(F.col("doc").alias("p_doc"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    spans = gold.select("doc", "span_start", "span_end").distinct()
+    met = pairs(spans, held, ("doc", "p_doc"), ("span_start", "span_end", "p_start", "p_end"))
+    listed = met.groupBy("doc", "span_start", "span_end").agg(F.array_sort(F.collect_list(F.struct("p_start", "p_end"))).alias("held"))
+    texts = spans.join(docs.select("doc", "text"), "doc").join(listed, ["doc", "span_start", "span_end"], "left")
+    piece = lambda at, end: F.substring(F.col("text"), at, F.greatest(end - at, F.lit(0)))
+    none = F.array().cast(listed.schema["held"].dataType)
+    start = F.struct(F.col("span_start").cast("int").alias("at"), F.lit("").alias("out"))
+    step = lambda acc, h: F.struct((h["p_end"] + 1).cast("int").alias("at"), F.concat(acc["out"], piece(acc["at"], h["p_start"])).alias("out"))
+    rest = F.aggregate(F.coalesce("held", none), start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.col("span_end") + 1)))
+    each = texts.select(F.col("doc").alias("d"), F.col("span_start").alias("s"), F.col("span_end").alias("e"), (~rest.rlike(r"(?U)[\p{L}\p{N}]")).alias("covered"))
+    of = (F.col("doc") == F.col("d")) & (F.col("span_start") == F.col("s")) & (F.col("span_end") == F.col("e"))
+    return gold.join(each, of).select("doc", "span_start", "span_end", "label", "covered")
+
+
+def _outcomes(docs: DataFrame, gold: DataFrame, predicted: DataFrame, view: tuple[str, ...]) -> DataFrame:
+    """Distinct gold of a view with n (how often it stands there), hit, covered and auto: covered by accepted predictions, all where predictions have no decision."""
+    seen = gold.where(F.col("label").isin(*view)).groupBy("doc", "span_start", "span_end", "label").agg(F.count("*").alias("n"))
+    accepted = predicted.where(F.coalesce("decision", F.lit("identifier")) == "identifier") if "decision" in predicted.columns else predicted
+    keys = ["doc", "span_start", "span_end", "label"]
+    hits = gold_hits(seen, predicted)
+    for name, by in (("covered", predicted), ("auto", accepted)):
+        hits = hits.join(coverage(docs, seen, by).withColumnRenamed("covered", name), keys)
+    return hits
+
+
+def set_score(docs: DataFrame, gold: DataFrame, predicted: DataFrame, view: tuple[str, ...] = IDENTIFIERS) -> DataFrame:
+    """One row: gold, recall, covered, auto_covered, precision, f1, tp, fp, fp_on_negative_notes of a view over docs (doc, text).
+
+    A span is covered if every letter or digit of it lies in some prediction, and auto-covered if accepted ones (decision identifier or
+    none given) do. Negative notes have no gold at all."""
+    known = docs.select("doc")
+    gold, predicted = gold.join(known, "doc", "left_semi"), predicted.join(known, "doc", "left_semi")
+    n = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0))
+    seen = _outcomes(docs, gold, predicted, view).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("gold"), n("hit").alias("hits"), n("covered").alias("c"), n("auto").alias("a"))
+    p = shown(predicted)
+    negative = split(p, gold, "doc")[1].join(gold.select("doc").distinct(), "doc", "left_anti").agg(F.count("*").alias("fp_on_negative_notes"))
+    one = seen.crossJoin(_right_and_wrong(p, gold, view)).crossJoin(negative)  # one row each
+    recall, precision = ratio(F.col("hits"), F.col("gold")), ratio(F.col("tp"), F.col("tp") + F.col("fp"))
+    rate = lambda c, name: F.round(ratio(F.col(c), F.col("gold")), 4).alias(name)
+    return one.select("gold", rate("hits", "recall"), rate("c", "covered"), rate("a", "auto_covered"), F.round(precision, 4).alias("precision"), F.round(_f1(recall, precision), 4).alias("f1"), "tp", "fp", "fp_on_negative_notes")
+
+
+def label_scores(docs: DataFrame, gold: DataFrame, predicted: DataFrame, view: tuple[str, ...] = IDENTIFIERS) -> DataFrame:
+    """label, n, recall, covered."""
+    rate = lambda c: F.round(F.sum(F.when(F.col(c), F.col("n")).otherwise(0)) / F.sum("n"), 4)
+    return _outcomes(docs, gold, predicted, view).groupBy("label").agg(F.sum("n").alias("total"), rate("hit").alias("recall"), rate("covered").alias("covered")).select("label", F.col("total").alias("n"), "recall", "covered")
+
 
-    Each letter or digit becomes a row that is looked up by position, so no document's predictions are gathered."""
-    spans = gold.select("doc", "span_start", "span_end", "label", F.monotonically_increasing_id().alias("gid")).join(docs.select("doc", "text"), "doc")
-    at = spans.select("gid", "doc", "span_start", "span_end", "label", F.explode(F.sequence("span_start", "span_end")).alias("at"), "text")
-    need = at.where(F.substring(F.col("text"), F.col("at"), F.lit(1)).rlike(r"(?U)[\p{L}\p{N}]")).select("gid", "doc", "at")
-    p = predicted.where(F.col("label").isNull() | ~F.col("label").isin(*SENSITIVE)).select(F.col("doc").alias("p_doc"), "span_start", "span_end")
-    open_at = need.join(p, (F.col("doc") == F.col("p_doc")) & (F.col("span_start") <= F.col("at")) & (F.col("at") <= F.col("span_end")), "left_anti").select("gid").distinct().withColumn("missed", F.lit(True))
-    return spans.join(open_at, "gid", "left").select("doc", "span_start", "span_end", "label", F.col("missed").isNull().alias("covered"))
+def misses(docs: DataFrame, gold: DataFrame, predicted: DataFrame, view: tuple[str, ...] = IDENTIFIERS) -> DataFrame:
+    """doc, span_start, span_end, label, match, overlapped, n: gold that isn't covered, and how often it stands there; overlapped tells whether a prediction touches it."""
+    open_ = _outcomes(docs, gold, predicted, view).where("NOT covered").join(docs.select("doc", "text"), "doc")
+    return open_.select("doc", "span_start", "span_end", "label", F.expr("substring(text, span_start, span_end - span_start + 1)").alias("match"), F.col("hit").alias("overlapped"), "n")
 
 
 def score_sensitive(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row: gold, recall, category_ok, precision, fp of the sensitive labels."""
-    g = gold.where(F.col("label").isin(*SENSITIVE)).withColumn("gid", F.monotonically_increasing_id())
-    p = _named(predicted.where(F.col("label").isin(*SENSITIVE)), "p")
-    met = g.withColumn("g_start", F.col("span_start")).withColumn("g_end", F.col("span_end")).join(p, (F.col("doc") == F.col("p_doc")) & overlap("g", "p"), "left")
-    per = met.groupBy("gid").agg(F.max(F.col("p_doc").isNotNull()).alias("hit"), F.max(F.coalesce(F.col("p_label") == F.col("label"), F.lit(False))).alias("right"))
-    seen = per.agg(F.count("*").alias("gold"), F.count_if("hit").alias("hits"), F.count_if("right").alias("rights"))
-    q = predicted.where(F.col("label").isin(*SENSITIVE)).withColumn("p_start", F.col("span_start")).withColumn("p_end", F.col("span_end"))
-    every = _named(gold, "g")
-    near = (F.col("doc") == F.col("g_doc")) & overlap("p", "g")
-    tp = q.join(every.where(F.col("g_label").isin(*SENSITIVE)), near, "left_semi").agg(F.count("*").alias("tp"))
-    fp = q.join(every, near, "left_anti").agg(F.count("*").alias("fp"))
-    return seen.crossJoin(tp).crossJoin(fp).select(
+    g, q = (df.where(F.col("label").isin(*SENSITIVE)) for df in (gold, predicted))
+    same = lambda df: df.withColumn("_called", F.struct("doc", "label"))
+    counts = [df.agg(F.count("*").alias(name)) for df, name in ((g, "gold"), (split(g, q, "doc")[0], "hits"), (split(same(g), same(q), "_called")[0], "rights"))]
+    one = counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(_right_and_wrong(q, gold, SENSITIVE))  # one row each
+    return one.select(
         "gold", F.round(ratio(F.col("hits"), F.col("gold")), 4).alias("recall"), F.round(ratio(F.col("rights"), F.col("gold")), 4).alias("category_ok"),
         F.round(ratio(F.col("tp"), F.col("tp") + F.col("fp")), 4).alias("precision"), "fp",
     )

@@ -119,6 +119,30 @@ SQL["span_covered"] = f"""{_WITH}, t AS ({TEXT}), n AS (SELECT g.*, row_number()
 x AS (SELECT gid, n.doc, unnest(range(CAST(span_start AS BIGINT), span_end + 1)) AS pos, text FROM n JOIN t ON n.doc = t.doc),
 m AS (SELECT DISTINCT gid FROM x WHERE regexp_matches(substr(text, CAST(pos AS INT), 1), '[A-Za-z0-9]') AND NOT EXISTS (SELECT 1 FROM q WHERE q.doc = x.doc AND q.span_start <= x.pos AND x.pos <= q.span_end))
 SELECT doc, span_start, span_end, label, m.gid IS NULL AS covered FROM n LEFT JOIN m ON n.gid = m.gid WHERE n.doc IN (SELECT doc FROM t)"""
+
+
+def _set(spark, sf_dir):
+    """docs, gold and predictions, of which every fourth is only up for review."""
+    gold, guess = spans(spark, sf_dir)
+    text = spark.sql(TEXT.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return text, gold, guess.withColumn("decision", F.expr("CASE WHEN (doc + span_start) % 4 = 0 THEN 'review' ELSE 'identifier' END"))
+
+
+_SET = f"""{_WITH}, t AS ({TEXT}), n AS (SELECT g.*, row_number() OVER () AS gid FROM g WHERE label IN ({PII}) AND doc IN (SELECT doc FROM t)),
+x AS (SELECT gid, n.doc, unnest(range(CAST(span_start AS BIGINT), span_end + 1)) AS pos, text FROM n JOIN t ON n.doc = t.doc),
+c AS (SELECT * FROM x WHERE regexp_matches(substr(text, CAST(pos AS INT), 1), '[A-Za-z0-9]')),
+m AS (SELECT DISTINCT gid FROM c WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.doc = c.doc AND q.span_start <= c.pos AND c.pos <= q.span_end)),
+u AS (SELECT DISTINCT gid FROM c WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.doc = c.doc AND (q.doc + q.span_start) % 4 <> 0 AND q.span_start <= c.pos AND c.pos <= q.span_end)),
+o AS (SELECT n.*, EXISTS (SELECT 1 FROM q WHERE q.doc = n.doc AND q.span_start <= n.span_end AND n.span_start <= q.span_end) AS hit, n.gid NOT IN (SELECT gid FROM m) AS covered, n.gid NOT IN (SELECT gid FROM u) AS auto FROM n),
+w AS (SELECT q.*, EXISTS (SELECT 1 FROM g WHERE {_MEET} AND g.label IN ({PII})) AS tp, NOT EXISTS (SELECT 1 FROM g WHERE {_MEET}) AS fp, NOT EXISTS (SELECT 1 FROM g WHERE g.doc = q.doc) AS negative FROM q WHERE doc IN (SELECT doc FROM t))"""
+QUERIES["set_score"] = lambda spark, sf: s.set_score(*_set(spark, sf))
+SQL["set_score"] = f"""{_SET}, a AS (SELECT count(*) AS gold, count_if(hit) AS h, count_if(covered) AS c, count_if(auto) AS a FROM o), b AS (SELECT count_if(tp) AS tp, count_if(fp) AS fp, count_if(fp AND negative) AS neg FROM w)
+SELECT CAST(gold AS BIGINT) AS gold, round(h / gold, 4) AS recall, round(c / gold, 4) AS covered, round(a / gold, 4) AS auto_covered, round(tp / (tp + fp), 4) AS precision, round(2 * (tp / (tp + fp)) * (h / gold) / (tp / (tp + fp) + h / gold), 4) AS f1,
+  CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(neg AS BIGINT) AS fp_on_negative_notes FROM a, b"""
+QUERIES["label_scores"] = lambda spark, sf: s.label_scores(*_set(spark, sf))
+SQL["label_scores"] = f"{_SET} SELECT label, count(*) AS n, round(count_if(hit) / count(*), 4) AS recall, round(count_if(covered) / count(*), 4) AS covered FROM o GROUP BY label"
+QUERIES["missed_spans"] = lambda spark, sf: s.misses(*_set(spark, sf))
+SQL["missed_spans"] = f"{_SET} SELECT o.doc, span_start, span_end, label, substr(text, span_start, span_end - span_start + 1) AS match, hit AS overlapped, count(*) AS n FROM o JOIN t ON o.doc = t.doc WHERE NOT covered GROUP BY ALL"
 QUERIES["score_shi"] = lambda spark, sf: s.score_sensitive(*spans(spark, sf))
 SQL["score_shi"] = f"""WITH g AS ({GOLD}), p AS ({GUESS}), q AS (SELECT * FROM p WHERE label IN ({SENS})), r AS (SELECT *, row_number() OVER () AS gid FROM g WHERE label IN ({SENS})),
 a AS (SELECT count(*) AS n, avg(CAST(EXISTS (SELECT 1 FROM q WHERE q.doc = r.doc AND q.span_start <= r.span_end AND r.span_start <= q.span_end) AS DOUBLE)) AS hit,

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from spanlens.operators import evaluation, names
+from spanlens.operators import evaluation, intervals, names, questions, scoring
 from spanlens.operators.propose import propose
 
 CASES = [
@@ -100,11 +102,51 @@ def test_outcomes_of_gold_and_records(spark):
     assert evaluation.summary(docs.limit(0), gold.limit(0), records.limit(0)).first().recall_flagged is None
 
 
-def test_calls_orders_and_terms(spark):
+def test_calls_and_terms(spark):
     rows = spark.createDataFrame([("genetic", ["lexicon:genetic"]), ("genetic", ["ner"]), ("none", []), (None, None), ("name", ["ner"])], "c string, s array<string>")
-    assert [r.x for r in rows.select(evaluation.call_of(F.col("c"), F.col("s")).alias("x")).collect()] == ["shi_lexicon", "shi_other", "none", "none", "identifier"]
-    one = spark.range(1).select(evaluation.forward_reverse(F.array(F.lit("a"), F.lit("b"))).alias("o"), evaluation.sensitive_term_in(F.lit("has HIV infection")).alias("yes"), evaluation.sensitive_term_in(F.lit("has a cold")).alias("no")).first()
-    assert one.o == [["a", "b"], ["b", "a"]] and one.yes and not one.no
+    assert [r.x for r in rows.select(questions.group_of(F.col("c"), F.col("s")).alias("x")).collect()] == ["shi_lexicon", "shi_other", "none", "none", "identifier"]
+    texts = spark.createDataFrame([("has HIV infection",), ("has a cold",), (None,), ("husband hit her",)], "t string")
+    assert [r.x for r in texts.select(questions.holds_sensitive_term(F.col("t")).alias("x")).collect()] == [True, False, False, True]
+
+
+def brute_score(docs, gold, predicted, view):
+    meets = lambda p, g: p[0] == g[0] and p[1] <= g[2] and g[1] <= p[2] and p[1] <= p[2] and g[1] <= g[2]
+    text = dict(docs)
+    gold, predicted = ([x for x in rows if x[0] in text] for rows in (gold, predicted))
+    seen, shown = [g for g in gold if g[3] in view], [p for p in predicted if p[3] not in scoring.SENSITIVE]
+    held = lambda g, ps: all(any(p[0] == g[0] and p[1] <= i <= p[2] for p in ps) for i in range(g[1], g[2] + 1) if text[g[0]][i - 1 : i].isalnum())
+    hits = [any(meets(p, g) for p in shown) for g in seen]
+    covered, auto = [held(g, shown) for g in seen], [held(g, [p for p in shown if p[4] in ("identifier", None)]) for g in seen]
+    tp = [p for p in shown if any(meets(p, g) for g in seen)]
+    fp = [p for p in shown if not any(meets(p, g) for g in gold)]
+    share = lambda a, b: round(a / b, 4) if b else None
+    r, q = (sum(hits) / len(seen) if seen else None), (len(tp) / (len(tp) + len(fp)) if tp or fp else None)
+    missed = sorted((*g[:4], text[g[0]][g[1] - 1 : g[2]], h) for g, h, c in zip(seen, hits, covered) if not c)
+    return (len(seen), share(sum(hits), len(seen)), share(sum(covered), len(seen)), share(sum(auto), len(seen)), share(len(tp), len(tp) + len(fp)), round(2 * r * q / (r + q), 4) if r and q else 0.0,
+            len(tp), len(fp), sum(not any(g[0] == p[0] for g in gold) for p in fp)), missed
+
+
+def test_scores_of_a_set_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    labels = ["name", "phone", "genetic", "date_other", None]
+    docs = [(d, "".join(rng.choice("ab1 ,-é中") for _ in range(400))) for d in range(6)] + [(6, "")]
+    spans = lambda n, few: [(rng.randrange(0, few), s := rng.randrange(1, 390), s + rng.randrange(-1, 14) * rng.randrange(1, 4), rng.choice(labels[:4])) for _ in range(n)]
+    gold = [(*g[:2], max(g[1:3]), g[3]) for g in spans(60, 5)]
+    gold += gold[:5] + [(99, 1, 4, "name")]
+    predicted = [(*p, rng.choice(["identifier", "review", None])) for p in spans(150, 7)] + [(0, 1, 400, "name", "review"), (99, 1, 4, "name", None)]
+    predicted = [(*p[:3], rng.choice(labels) if i % 9 == 0 else p[3], p[4]) for i, p in enumerate(predicted)]
+    d = spark.createDataFrame(docs, "doc int, text string")
+    g = spark.createDataFrame(gold, "doc int, span_start int, span_end int, label string")
+    p = spark.createDataFrame(predicted, "doc int, span_start int, span_end int, label string, decision string")
+    monkeypatch.setattr(intervals, "BIN", 32)
+    for view in (scoring.IDENTIFIERS, ("phone",)):
+        want, missed = brute_score(docs, gold, predicted, view)
+        assert tuple(scoring.set_score(d, g, p, view).first()) == want
+        got = sorted(tuple(r)[:6] for r in scoring.misses(d, g, p, view).collect() for _ in range(r.n))
+        assert got == missed
+    assert tuple(scoring.set_score(d, g.limit(0), p.limit(0)).first()) == (0, None, None, None, None, 0.0, 0, 0, 0)
+    by_label = {r.label: r.n for r in scoring.label_scores(d, g, p).collect()}
+    assert sum(by_label.values()) == brute_score(docs, gold, predicted, scoring.IDENTIFIERS)[0][0]
 
 
 def test_interval_holds_the_error(spark):
