@@ -102,15 +102,16 @@ class Temperature:
 class Isotonic:
     """A step function: xs are the blocks' upper edges, ys their rates; results stay `floor` away from 0 and 1.
 
-    It is looked up at p rounded to six places, and steps, unlike interpolation between points."""
+    It is looked up at p rounded to `places` (None: as it is), and steps, unlike interpolation between points."""
 
     xs: tuple[float, ...]
     ys: tuple[float, ...]
     floor: float = 0.005
+    places: int | None = 6
 
     def column(self, p: Column) -> Column:
         xs, ys = (F.array(*map(F.lit, v)) for v in (self.xs, self.ys))
-        below = F.size(F.filter(xs, lambda x: x < F.round(p, 6)))
+        below = F.size(F.filter(xs, lambda x: x < (p if self.places is None else F.round(p, self.places))))
         return F.least(F.lit(1 - self.floor), F.greatest(F.lit(self.floor), F.element_at(ys, F.least(below, F.lit(len(self.ys) - 1)) + 1)))
 
     def to_dict(self) -> dict:
