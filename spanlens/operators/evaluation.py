@@ -153,13 +153,13 @@ def order_bias(orders: DataFrame, k: int = 4) -> DataFrame:
     """One row from answers by order (candidate, order_idx, option, share: an option's share in that order): how often the likeliest option of the first order
     alone, and of k orders spread evenly, is another than that of all, the mean spread of a candidate's options, and how far p(none) moves.
 
-    Ties go to the option that comes first by name; the k orders are those of judge.rotations."""
+    Ties, to twelve places, go to the option that comes first by name; the k orders are those of judge.rotations."""
     n = orders.groupBy("candidate").agg(F.countDistinct("order_idx").alias("n"))
     few = n.select("candidate", F.explode(rotations(F.col("n"), F.lit(k))).alias("order_idx")).withColumn("few", F.lit(True))
     each = orders.join(few, ["candidate", "order_idx"], "left")
     options = each.groupBy("candidate", "option").agg(
         F.avg("share").alias("all"), F.max(F.when(F.col("order_idx") == 0, F.col("share"))).alias("one"), F.avg(F.when(F.col("few"), F.col("share"))).alias("few"), (F.max("share") - F.min("share")).alias("move"))
-    best = lambda c: F.min(F.struct((-F.col(c)).alias("p"), "option"))["option"]
+    best = lambda c: F.min(F.struct((-F.round(c, 12)).alias("p"), "option"))["option"]
     moved = lambda c: F.max(F.when(F.col("option") == "none", F.abs(F.col(c) - F.col("all"))))
     per = options.groupBy("candidate").agg(best("all").alias("all"), best("one").alias("one"), best("few").alias("few"), F.max("move").alias("spread"), moved("one").alias("d_one"), moved("few").alias("d_few"))
     rate = lambda c, name: F.round(ratio(F.count_if(F.col(c) != F.col("all")), F.count("*")), 4).alias(name)
