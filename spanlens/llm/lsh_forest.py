@@ -130,13 +130,14 @@ def search_depths(similarity: float, trees: int, depth: int, target: float, coun
 
 
 def labels(s: np.ndarray, count: int) -> bytes:
-    """`count` MinHashes as big-endian 32-bit numbers. A MinHash is the least 32-bit multiply-shift value of the shingles."""
+    """`count` MinHashes, each the least multiply-shift value of the shingles, as 16-bit digests of them: equal ones stay equal, and others become so
+    by a chance of 1 in 65,536, which can only make two documents meet that are then compared."""
     a = seeds(2 * count)
     times, plus = (a[0::2] | np.uint64(1))[:, None], a[1::2][:, None]
     least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 1024):
         np.minimum(least, (s[None, i : i + 1024] * times + plus).min(1), out=least)
-    return (least >> np.uint64(32)).astype(">u4").tobytes()
+    return (mixed(least) >> np.uint64(48)).astype(">u2").tobytes()
 
 
 def signatures(docs: DataFrame, count: int) -> DataFrame:
@@ -248,7 +249,7 @@ def _units(classes: DataFrame, scratch: Scratch, similarity: float, trees: int,
     of = lambda lists: F.element_at(F.array(*lists), at)
     searched = classes.select("rep", "label", "n", of([F.lit(k) for k in own]).alias("own"), F.explode(of([F.array(*map(F.lit, ks)).cast("array<int>") for ks in rounds])).alias("k"))
     tree = searched.select("rep", "own", "k", "label", "n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    prefix = F.substring("label", F.col("tree") * (4 * depth) + 1, 4 * F.col("k"))
+    prefix = F.substring("label", F.col("tree") * (2 * depth) + 1, 2 * F.col("k"))
     entries = tree.select("rep", "own", "k", "tree", "n", F.concat(F.encode(F.concat_ws(":", "tree", "k", F.lit("")), "utf-8"), prefix).alias("node"))
     nodes = scratch.write(entries.groupBy(F.col("node").alias("at")).agg(F.count("*").alias("m"), F.sum("n").alias("size")).where("m > 1"))
     met = entries.join(nodes.hint("merge"), F.col("node") == F.col("at"))
@@ -263,10 +264,10 @@ def _met(unit: pa.Table, similarity: float, trees: int, depth: int) -> tuple[np.
     """Places of the left and the right members of a unit and the pairs to be compared here: those whose search ends at this depth,
     that meet in this tree and in no earlier one, and that sizes and labels don't rule out."""
     left, right = (np.flatnonzero(unit[c].to_numpy(zero_copy_only=False)) for c in ("left", "right"))
-    label = np.frombuffer(b"".join(unit["label"].to_pylist()), ">u4").astype(np.uint32).reshape(len(unit), trees, depth)
+    label = np.frombuffer(b"".join(unit["label"].to_pylist()), np.uint16).reshape(len(unit), trees, depth)
     n, own, rep = unit["n"].to_numpy(), unit["own"].to_numpy(), unit["rep"].to_numpy()
     k, tree = unit["k"][0].as_py(), unit["tree"][0].as_py()
-    node = [np.unique(np.ascontiguousarray(label[:, t, :k]).view(f"V{4 * k}")[:, 0], return_inverse=True)[1].reshape(-1).astype(np.int32) for t in range(tree + 1)]
+    node = [np.unique(np.ascontiguousarray(label[:, t, :k]).view(f"V{2 * k}")[:, 0], return_inverse=True)[1].reshape(-1).astype(np.int32) for t in range(tree + 1)]
     out = np.zeros((len(left), len(right)), bool)
     step = max(1, (4 << 20) // max(1, len(right)))
     for i in range(0, len(left), step):
