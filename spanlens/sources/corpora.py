@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.matching import all_matches
@@ -55,9 +55,10 @@ def read_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str) -> DataFrame:
-    """Writes JSON lines and returns the manifest of the files."""
-    df.write.json(path)
-    return manifest(df.sparkSession, path)
+    """Writes JSON lines and returns the manifest of the files, with the number of rows written, counted as they are written."""
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.json(path)
+    return manifest(df.sparkSession, path).withColumn("rows", F.lit(counted.get["rows"]))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

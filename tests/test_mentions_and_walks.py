@@ -122,3 +122,18 @@ def test_login_and_lower_names_reach_the_proposer(spark):
     extra = spark.createDataFrame([(1, 1, 4, "name", "ner")], "row int, span_start int, span_end int, type string, source string")
     kin = spark.createDataFrame([(1, "Papa said so")], "row int, text string")
     assert propose.propose(kin, extra=extra).where(F.col("match") == "Papa").count() == 0
+
+
+ENGINE = [
+    ("seen at Eastshore GH Ward Meena today", "Eastshore GH Ward Meena", "Meena"), ("the Eastshore Hospital called", "Eastshore Hospital", None), ("Doktor yang merawat", "yang merawat", None), ("Beliau dan keluarga", "dan keluarga", None),
+    ("Mr ng came", "ng", "ng"), ("அவர் என் மகன்", "என்", None), ("Positive Murphy sign on exam", "Murphy", None), ("Admitted to RSUD Sukamaju", "Sukamaju", None), ("Spoke to Kai Wen, stable", "Kai Wen", "Kai Wen"),
+    ("Hougang Clinic Nurse Siti Aminah.", "Hougang Clinic Nurse Siti Aminah.", "Siti Aminah"), ("Kai Wen's Clinic", "Kai Wen's Clinic", None),
+]
+
+
+def test_names_of_an_engine_are_cut_and_dropped(spark):
+    rows = spark.createDataFrame([(i, t, t.index(m) + 1, m) for i, (t, m, _) in enumerate(ENGINE)], "row int, text string, at int, match string")
+    got = {r.row: r.n for r in rows.select("row", names.engine_name(F.col("text"), F.col("at"), F.col("match"), VOCABULARY).alias("n")).collect()}
+    for i, (text, match, want) in enumerate(ENGINE):
+        assert (got[i].match if got[i] else None) == want, (text, got[i])
+        assert want is None or text[got[i].start - 1 :].startswith(want)
