@@ -106,7 +106,7 @@ round(count_if(is_pii AND replayed = 'identifier') / count_if(is_pii), 4) AS rec
 
 def ece_bootstrap(spark, sf_dir):
     """The interval of the calibration error of the labelled scores, ten rows to a document."""
-    return e.ece_interval(scores(spark, sf_dir).withColumn("doc", F.floor(F.col("doc_id") / 10)), 500)
+    return e.ece_interval(scores(spark, sf_dir).withColumn("doc", F.floor(F.col("doc_id") / 10)))
 
 
 QUERIES["ece_bootstrap"] = ece_bootstrap
