@@ -222,6 +222,7 @@ def read_back(spark: SparkSession, manifest: list[tuple], id_type: T.DataType =
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as an Arrow stream in ascending doc_id and read back; null texts are one end id, null ids come first, an empty table gives no rows."""
     import public_tokenizers
 
     folder = f"{shared_dir(spark)}/arrow-stream-{uuid.uuid4().hex}"

@@ -203,6 +203,7 @@ def decode_ids(rows: DataFrame, path: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text of documents and what they decode to; null texts are empty, an empty table gives no rows."""
     import public_tokenizers
 
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

@@ -90,6 +90,7 @@ def _split(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts that are equal but for the case of A-Z: see exact_groups. Null texts are empty ones, ties go to one row."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -363,6 +363,7 @@ def language_id(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of documents: see language_id. Null and letterless texts are und; rows without doc_id are predicted, never learned from."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -355,4 +355,5 @@ def _verified(units: DataFrame, base: DataFrame, similarity: float, trees: int,
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all documents at a similarity of 0.8 or more of their five-word shingles: see forest_groups. Null and wordless texts link with nothing."""
     return forest_join(table(spark, sf_dir, "documents"))

@@ -119,6 +119,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens: see pack. Null texts are one end token, longer documents are cut, an empty table gives no rows."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -136,6 +136,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text of documents; null texts are empty, repeated rows and null ids give a row each, an empty table gives none."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
