@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 BIN = 512
 
 
-def _bin(place: Column) -> Column:
+def bin_of(place: Column) -> Column:
     return F.floor(place / BIN)
 
 
 def dealt(spans: DataFrame, start: str, end: str) -> DataFrame:
     """spans with `_bin`, a row for each bin that they touch; those that end before they start touch none."""
-    return spans.where(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(F.sequence(_bin(F.col(start)), _bin(F.col(end)))))
+    return spans.where(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(F.sequence(bin_of(F.col(start)), bin_of(F.col(end)))))
 
 
 def touching(left: DataFrame, right: DataFrame, key: str, start: str = "span_start", end: str = "span_end") -> DataFrame:
@@ -42,5 +42,5 @@ def pairs(left: DataFrame, right: DataFrame, on: tuple[str, str], spans: tuple[s
     l_start, l_end, r_start, r_end = spans
     l_, r_ = dealt(left, l_start, l_end), dealt(right, r_start, r_end).withColumnRenamed("_bin", "_at")
     overlap = (F.col(l_start) <= F.col(r_end)) & (F.col(r_start) <= F.col(l_end))
-    once = _bin(F.greatest(l_start, r_start)) == F.col("_bin")
+    once = bin_of(F.greatest(l_start, r_start)) == F.col("_bin")
     return l_.join(r_, (F.col(l_key) == F.col(r_key)) & (F.col("_bin") == F.col("_at")) & overlap & once).drop("_bin", "_at")

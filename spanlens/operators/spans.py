@@ -8,6 +8,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .intervals import bin_of, dealt
 from .judge import IDENTIFIERS, SENSITIVE, TYPE_LABELS
 
 RANK = {"identifier": 2, "review": 1, "not_identifier": 0}
@@ -25,20 +26,21 @@ def resolve(spans: DataFrame, key: str = "row") -> DataFrame:
     """spans (key, idx, span_start, span_end, decision, ...) without those inside another span of the key that comes before them.
 
     Spans come in the order of decision, width, start and idx. Containment is transitive and ranks are ordered, so
-    "inside a kept span" is "inside any earlier one": an anti-join on the key with the interval as condition."""
+    "inside a kept span" is "inside any earlier one": an anti-join on the key and the bin of positions that a span starts in,
+    as what holds it touches that bin, too."""
     rank = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])
     place = lambda d: F.struct(-F.element_at(rank, d("decision")), -(d("span_end") - d("span_start")), d("span_start"), d("idx"))
-    left = spans.withColumn("_place", place(F.col))
-    right = left.select(F.col(key).alias("_key"), F.col("span_start").alias("_start"), F.col("span_end").alias("_end"), F.col("_place").alias("_before"))
-    covered = (F.col(key) == F.col("_key")) & (F.col("_start") <= F.col("span_start")) & (F.col("span_end") <= F.col("_end")) & (F.col("_before") < F.col("_place"))
-    return left.join(right, covered, "left_anti").drop("_place")
+    left = spans.withColumn("_place", place(F.col)).withColumn("_at", bin_of(F.col("span_start")))
+    right = dealt(left.select(F.col(key).alias("_key"), F.col("span_start").alias("_start"), F.col("span_end").alias("_end"), F.col("_place").alias("_before")), "_start", "_end")
+    covered = (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_bin")) & (F.col("_start") <= F.col("span_start")) & (F.col("span_end") <= F.col("_end")) & (F.col("_before") < F.col("_place"))
+    return left.join(right, covered, "left_anti").drop("_place", "_at")
 
 
 def outside(candidates: DataFrame, sure: DataFrame, key: str = "row") -> DataFrame:
     """candidates not strictly inside a span of sure: those need no question."""
-    s = sure.select(F.col(key).alias("_key"), F.col("span_start").alias("_start"), F.col("span_end").alias("_end"))
-    inside = (F.col(key) == F.col("_key")) & (F.col("_start") <= F.col("span_start")) & (F.col("span_end") <= F.col("_end")) & (F.col("_end") - F.col("_start") > F.col("span_end") - F.col("span_start"))
-    return candidates.join(s, inside, "left_anti")
+    s = dealt(sure.select(F.col(key).alias("_key"), F.col("span_start").alias("_start"), F.col("span_end").alias("_end")), "_start", "_end")
+    inside = (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_bin")) & (F.col("_start") <= F.col("span_start")) & (F.col("span_end") <= F.col("_end")) & (F.col("_end") - F.col("_start") > F.col("span_end") - F.col("span_start"))
+    return candidates.withColumn("_at", bin_of(F.col("span_start"))).join(s, inside, "left_anti").drop("_at")
 
 
 # --- policy ---
