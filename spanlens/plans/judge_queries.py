@@ -29,12 +29,12 @@ SQL["family_of"] = rf"""SELECT row, value, CASE WHEN {_DATE} OR ({_OCR}) THEN 'd
 WHEN regexp_full_match(value, '\d{{8}}') AND ({_REAL}) THEN 'numeric' WHEN NOT regexp_matches(value, '\d') THEN 'text' WHEN regexp_matches(value, '[A-Za-z]{{3,}}') THEN 'alnum' WHEN regexp_matches(value, '\s') THEN 'numeric' ELSE 'code' END AS family
 FROM (SELECT o_orderkey AS row, {SHAPE} AS value FROM orders)"""
 
-QUERIES["choice_options"] = lambda spark, sf: j.options_table(spark)
 _FAMILIES = "SELECT * FROM (VALUES " + ", ".join(f"('{f}', {i}, '{o}')" for f, options in j.FAMILIES.items() for i, o in enumerate(options)) + ") AS t(family, position, option)"
-SQL["choice_options"] = _FAMILIES
+QUERIES["choice_options"] = lambda spark, sf: family_query(spark, sf).join(j.options_table(spark), "family").select("row", "family", "position", "option")
+SQL["choice_options"] = f"SELECT row, f.family, position, option FROM ({SQL['family_of']}) v JOIN ({_FAMILIES}) f ON f.family = v.family"
 
-QUERIES["rotations"] = lambda spark, sf: spark.range(1, 23).select(F.col("id").cast("int").alias("n")).select("n", F.posexplode(j.rotations(F.col("n"), F.lit(4))).alias("order_idx", "shift"))
-SQL["rotations"] = "SELECT CAST(n AS INT) AS n, CAST(i AS INT) AS order_idx, CAST(round_even(i * n / least(4, n), 0) AS INT) AS shift FROM range(1, 23) t(n), range(0, 4) u(i) WHERE i < least(4, n)"
+QUERIES["rotations"] = lambda spark, sf: _orders(spark, sf, n="CAST(o_orderkey % 22 + 1 AS INT)").select("row", "n", F.posexplode(j.rotations(F.col("n"), F.lit(4))).alias("order_idx", "shift"))
+SQL["rotations"] = "SELECT row, n, CAST(i AS INT) AS order_idx, CAST(round_even(i * n / least(4, n), 0) AS INT) AS shift FROM (SELECT o_orderkey AS row, CAST(o_orderkey % 22 + 1 AS INT) AS n FROM orders), range(0, 4) u(i) WHERE i < least(4, n)"
 
 # --- answers ---
 
@@ -103,9 +103,10 @@ SQL["cell_review"] = rf"""SELECT row, value, head, CASE WHEN head = '' THEN '' W
 WHEN length(regexp_replace(value, '[^0-9]', '', 'g')) >= 5 THEN 'cell_id_shape' ELSE '' END AS reason FROM (SELECT o_orderkey AS row, {CELL} AS value, {HEAD} AS head, o_orderkey % 13 = 0 AS odd FROM orders)"""
 
 HEADERS = ("DOB", "DateOfBirth", "date_of_death", "DOD", "Admitted", "birth place", "Deceased on", "ward", "robin", "born")
-QUERIES["date_columns"] = lambda spark, sf: spark.createDataFrame([(h,) for h in HEADERS], "head string").select("head", j.date_column_identifier(F.col("head")).alias("identifier"))
+_HEADER = f"CASE o_orderkey % {len(HEADERS)} " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(HEADERS)) + " END || CASE o_orderkey % 3 WHEN 0 THEN '_' || CAST(o_orderkey AS STRING) WHEN 1 THEN ' (' || CAST(o_orderkey % 9 AS STRING) || ')' ELSE 's' END"
+QUERIES["date_columns"] = lambda spark, sf: _orders(spark, sf, head=_HEADER).select("row", "head", j.date_column_identifier(F.col("head")).alias("identifier"))
 _SPLIT = "regexp_replace(head, '([a-z])([A-Z])', '\\1 \\2', 'g')"
-SQL["date_columns"] = f"SELECT head, CASE WHEN regexp_matches({_SPLIT}, '(?i)(?:^|[^a-z])(?:dod|death|died|deceased)(?:[^a-z]|$)') THEN 'date_of_death' WHEN regexp_matches({_SPLIT}, '(?i)(?:^|[^a-z])(?:dob|d\\.o\\.b|birth|born)(?:[^a-z]|$)') THEN 'dob' END AS identifier FROM (VALUES " + ", ".join(f"('{h}')" for h in HEADERS) + ") AS t(head)"
+SQL["date_columns"] = f"SELECT row, head, CASE WHEN regexp_matches({_SPLIT}, '(?i)(?:^|[^a-z])(?:dod|death|died|deceased)(?:[^a-z]|$)') THEN 'date_of_death' WHEN regexp_matches({_SPLIT}, '(?i)(?:^|[^a-z])(?:dob|d\\.o\\.b|birth|born)(?:[^a-z]|$)') THEN 'dob' END AS identifier FROM (SELECT o_orderkey AS row, {_HEADER} AS head FROM orders)"
 
 
 # --- spans ---
