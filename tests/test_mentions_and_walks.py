@@ -106,22 +106,30 @@ def test_lists_of_any_length(spark):
 
 
 def test_codes_that_number_no_person_are_dropped(spark):
-    texts = ["Approved under CIRB 2025/0001 last week", "Protocol no. AB-2025-0001 amended", "ref AB-2025-0001 amended", "mail a.b@x.example.com", "Ethics ref: 2025/00123, MRN 2025/00123"]
+    texts = ["Approved under CIRB 2025/0001 last week", "Protocol no. AB-2025-0001 amended", "ref AB-2025-0001 amended", "lot 4402118", "lot 4402119", "CIRB 2025/2384"]
+    spans = [(0, "2025/0001", ["shape:id"], None), (1, "AB-2025-0001", ["shape:id", "ner"], None), (2, "AB-2025-0001", ["shape:id"], None), (3, "4402118", ["rule:mrn", "shape:id"], "mrn"), (4, "4402119", ["shape:id"], "phone"), (5, "CIRB 2025/2384", ["shape:id"], None)]
+    merged = [(k, texts[k].index(m) + 1, texts[k].index(m) + len(m), m, sources, t) for k, m, sources, t in spans]
+    rows, merged = spark.createDataFrame([*enumerate(texts)], "row int, text string"), spark.createDataFrame(merged, "row int, span_start int, span_end int, match string, sources array<string>, type string")
+    assert sorted(r.row for r in mentions.without_impersonal(rows, merged).collect()) == [2, 3, 4]
+
+
+def test_terms_of_address_are_no_engine_names(spark):
+    texts = ["Papa said so", "Dr Ma came", "Ma. Lourdes came", "ah ma IC", "Kai Wen"]
+    spans = [(0, "Papa"), (1, "Ma"), (2, "Ma"), (3, "ah ma"), (4, "Kai Wen")]
+    given = spark.createDataFrame([(k, texts[k].index(m) + 1, texts[k].index(m) + len(m), m, "name") for k, m in spans], "row int, span_start int, span_end int, match string, type string")
     rows = spark.createDataFrame([*enumerate(texts)], "row int, text string")
-    got = {(r.row, r.match) for r in propose.propose(rows).collect()}
-    assert not [g for g in got if g[0] in (0, 1) and "2025" in g[1]]
-    assert (2, "AB-2025-0001") in got and (3, "a.b@x.example.com") in got
-    assert [r.span_start for r in propose.propose(rows.where("row = 4")).where("match = '2025/00123'").collect()] == [29]
+    assert sorted(r.row for r in mentions.without_kin(rows, given, "row", VOCABULARY).collect()) == [1, 2, 4]
 
 
-def test_login_and_lower_names_reach_the_proposer(spark):
-    text = "TIME      USER-ID   ROLE\n08:00:00  x_tanab   RN\nmister lim ah beng says ok. <Nurse>Q. Example</Nurse>"
+def test_what_is_walked_to_and_swept_reaches_the_proposer(spark):
+    text = "TIME      USER-ID   ROLE\n08:00:00  x_tanab   RN\nmister lim ah beng says ok. <Nurse>Q. Example</Nurse> Reg. No. TCM-P1033. Ramli saw Perth."
     rows = spark.createDataFrame([(1, text)], "row int, text string")
-    got = {r.match: r.sources for r in propose.propose(rows).collect()}
-    assert "shape:handle" in got["x_tanab"] and "shape:name" in got["lim ah beng"] and "shape:name_column" in got["Q. Example"]
-    extra = spark.createDataFrame([(1, 1, 4, "name", "ner")], "row int, span_start int, span_end int, type string, source string")
-    kin = spark.createDataFrame([(1, "Papa said so")], "row int, text string")
-    assert propose.propose(kin, extra=extra).where(F.col("match") == "Papa").count() == 0
+    got = propose.propose(rows, words=spark.createDataFrame([("perth",)], "word string")).collect()
+    sources = {r.match: r.sources for r in got}
+    assert "shape:handle" in sources["x_tanab"] and "shape:name" in sources["lim ah beng"] and "shape:name_column" in sources["Q. Example"] and sources["Ramli"] == ["shape:token"]
+    assert "shape:id" in sources["TCM-P1033"] and "Perth" not in sources and "shape:id?" not in {s for r in got for s in r.sources}
+    swept = [r for r in got if r.sources == ["shape:token"]]
+    assert not [r for r in swept for o in got if o not in swept and o.span_start <= r.span_end and r.span_start <= o.span_end]
 
 
 ENGINE = [

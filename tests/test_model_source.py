@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from spanlens.operators import engine, judge
+from spanlens.operators import judge
 from spanlens.sources import model
 
 
@@ -100,12 +100,6 @@ def test_a_server_that_is_down_fails_the_job(spark, stub, shown, tmp_path):
     assert {k[0] for k in told(shown, backend)} == {1, 2, 3}
 
 
-def test_the_engine_asks_the_server(spark, stub):
-    rows = spark.createDataFrame([(1, "ref 7734-2210-9 noted", None), (4, None, None)], "row long, text string, column string")
-    got = engine.scan(rows, model.model_backend(model.Server(stub.url, wait=0), clients=1), include_dropped=True).where(F.col("match") == "7734-2210-9").collect()
-    assert len(got) == 1 and "failed" not in got[0].reasons and stub.seen
-
-
 @pytest.mark.parametrize("url", ["http://10.0.0.1:80", "https://127.0.0.1", "http://example.com", "ftp://127.0.0.1", "127.0.0.1:80", ""])
 def test_texts_stay_on_the_machine(url):
     with pytest.raises(ValueError):

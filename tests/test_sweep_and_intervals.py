@@ -3,10 +3,8 @@ import struct
 import numpy as np
 import pytest
 from pyspark.errors import PythonException
-from pyspark.sql import functions as F
 
-from spanlens.operators import engine, intervals, propose, sweep
-from spanlens.plans.engine_queries import scripted
+from spanlens.operators import intervals, sweep
 from spanlens.sources import corpora, gguf
 
 
@@ -41,18 +39,6 @@ def test_swept_words(spark):
     assert {"Perth", "Curators"} <= more
 
 
-def test_the_sweep_is_off_without_a_vocabulary(spark):
-    rows = spark.createDataFrame([(1, TEXTS[0][0], None)], "row int, text string, column string")
-    swept = lambda df: {r.match for r in df.where(F.array_contains("sources", "shape:token")).collect()}
-    words = spark.createDataFrame([("perth",)], "word string")
-    assert swept(propose.propose(rows.select("row", "text"))) == set()
-    got = propose.propose(rows.select("row", "text"), words=words)
-    assert "Ramli" in swept(got) and "Perth" not in swept(got)
-    held = [(r.span_start, r.span_end) for r in got.where(~F.array_contains("sources", "shape:token")).collect()]
-    assert not [r for r in got.where(F.array_contains("sources", "shape:token")).collect() for a, b in held if a <= r.span_end and r.span_start <= b]
-    assert {r.decision for r in engine.scan(rows, scripted, include_dropped=True, words=words).where("match = 'Ramli'").collect()}
-
-
 def gguf_bytes(tokens, version=2, key=gguf.TOKENS, kind=gguf.STRING, magic=b"GGUF"):
     text = lambda s: struct.pack("<Q", len(s.encode())) + s.encode()
     pairs = [text("general.name") + struct.pack("<I", gguf.STRING) + text("m"), text("n") + struct.pack("<If", 6, 1.0), text("a") + struct.pack("<IIQ", gguf.ARRAY, 4, 3) + b"\0" * 12,
