@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import layouts
 from ..operators.layouts import LOGIN, NAME_VALUE, PEOPLE, REACH, STAFF, TITLE_LABEL, UPPER_LABEL
+from .notes import customers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,7 +26,7 @@ XML = f"'<Case id=\"' || {KEY} || '\">' || chr(10) || '<Nurse role=\"x\"> ' || {
 
 
 def composed(text: str):
-    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS row", f"{text} AS text")
+    return lambda spark, sf_dir: customers(spark, sf_dir).selectExpr("c_custkey AS row", f"{text} AS text")
 
 
 def cells_sql(text: str, label: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tables
+from .notes import customers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -14,7 +15,7 @@ TABLE = f"'Listing below' || chr(10) || 'No|Subj ID|Patient Name|Ward' || chr(10
 
 
 def composed(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS row", f"{TABLE} AS text")
+    return customers(spark, sf_dir).selectExpr("c_custkey AS row", f"{TABLE} AS text")
 
 
 def flat(df):
@@ -42,7 +43,7 @@ MESSAGE = "'MSH|x|TAN^A' || chr(10) || 'PID|1||' || CAST(c_custkey AS STRING) ||
 
 
 def hl7(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS row", f"{MESSAGE} AS text")
+    rows = customers(spark, sf_dir).selectExpr("c_custkey AS row", f"{MESSAGE} AS text")
     return tables.hl7_people(rows)
 
 
