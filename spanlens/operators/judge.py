@@ -6,7 +6,7 @@ is the caller's. Everything after the model's first token is column arithmetic a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.matching import unicode_rules
@@ -148,12 +148,12 @@ def readout(shown: DataFrame, answers: DataFrame, min_mass: float = MIN_MASS) ->
     min_mass. prob is the mean over orders, spread the widest range of any option."""
     letters = answers.groupBy("candidate", "order_idx", letter_of(F.col("token")).alias("letter")).agg(F.sum("prob").alias("mass"))
     lettered = shown.withColumn("letter", F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("position") + 1, F.lit(1)))
-    met = lettered.join(letters, ["candidate", "order_idx", "letter"], "left").select("candidate", "order_idx", "option", F.coalesce("mass", F.lit(0.0)).alias("mass"))
-    totals = met.groupBy("candidate", "order_idx").agg(F.sum("mass").alias("total"))
-    each = met.join(totals, ["candidate", "order_idx"]).withColumn("share", F.try_divide(F.col("mass"), F.col("total")))
+    # A planner that takes exploded rows for as few as their source would send them whole to every executor: hence merge, and windows in place of joins.
+    met = lettered.join(letters.hint("merge"), ["candidate", "order_idx", "letter"], "left").select("candidate", "order_idx", "option", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    each = met.withColumn("total", F.sum("mass").over(Window.partitionBy("candidate", "order_idx"))).withColumn("share", F.try_divide(F.col("mass"), F.col("total")))
     options = each.groupBy("candidate", "option").agg(F.avg("share").alias("prob"), (F.max("share") - F.min("share")).alias("move"), F.min("total").alias("least"))
-    whole = options.groupBy("candidate").agg(F.max("move").alias("spread"), F.min("least").alias("min_mass"))
-    out = options.join(whole, "candidate").withColumn("failed", F.col("min_mass") < min_mass)
+    own = Window.partitionBy("candidate")
+    out = options.withColumns({"spread": F.max("move").over(own), "min_mass": F.min("least").over(own)}).withColumn("failed", F.col("min_mass") < min_mass)
     return out.select("candidate", "option", F.when(~F.col("failed"), F.col("prob")).alias("prob"), F.when(~F.col("failed"), F.col("spread")).alias("spread"), "min_mass", "failed")
 
 
