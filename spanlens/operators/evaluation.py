@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calibration import Grouped, Isotonic, fit_grouped, folds, outcome
@@ -154,9 +154,9 @@ def order_bias(orders: DataFrame, k: int = 4) -> DataFrame:
     alone, and of k orders spread evenly, is another than that of all, the mean spread of a candidate's options, and how far p(none) moves.
 
     Ties, to twelve places, go to the option that comes first by name; the k orders are those of judge.rotations."""
-    n = orders.groupBy("candidate").agg(F.countDistinct("order_idx").alias("n"))
-    few = n.select("candidate", F.explode(rotations(F.col("n"), F.lit(k))).alias("order_idx")).withColumn("few", F.lit(True))
-    each = orders.join(few, ["candidate", "order_idx"], "left")
+    # Dealt once by candidate: the window and both groupings then find a candidate's answers together.
+    n = F.size(F.collect_set("order_idx").over(Window.partitionBy("candidate")))
+    each = orders.repartition("candidate").withColumn("n", n).withColumn("few", F.array_contains(rotations(F.col("n"), F.lit(k)), F.col("order_idx").cast("int")))
     options = each.groupBy("candidate", "option").agg(
         F.avg("share").alias("all"), F.max(F.when(F.col("order_idx") == 0, F.col("share"))).alias("one"), F.avg(F.when(F.col("few"), F.col("share"))).alias("few"), (F.max("share") - F.min("share")).alias("move"))
     best = lambda c: F.min(F.struct((-F.round(c, 12)).alias("p"), "option"))["option"]

@@ -19,9 +19,9 @@ _SIZE = "3 + o_orderkey % 4"
 def order_flips(spark, sf_dir):
     """Answers to each order's candidate in three to six orders of four options."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.explode(F.expr(f"sequence(0, CAST({_SIZE} AS INT) - 1)")).alias("order_idx"))
-    each = orders.select("*", F.posexplode(F.array(*map(F.lit, _OPTIONS))).alias("opt", "option")).withColumn("mass", F.expr(f"CAST({_MASS} AS DOUBLE)"))
-    totals = each.groupBy("o_orderkey", "order_idx").agg(F.sum("mass").alias("total"))
-    shares = each.join(totals, ["o_orderkey", "order_idx"]).select(F.col("o_orderkey").alias("candidate"), "order_idx", "option", (F.col("mass") / F.col("total")).alias("share"))
+    masses = orders.withColumn("masses", F.expr(f"transform(sequence(0, {len(_OPTIONS) - 1}), opt -> CAST({_MASS} AS DOUBLE))"))  # of one answer, so its total needs no shuffle
+    each = masses.withColumn("total", F.expr("aggregate(masses, CAST(0 AS DOUBLE), (a, x) -> a + x)")).select("*", F.posexplode(F.array(*map(F.lit, _OPTIONS))).alias("opt", "option"))
+    shares = each.select(F.col("o_orderkey").alias("candidate"), "order_idx", "option", (F.get("masses", F.col("opt")) / F.col("total")).alias("share"))
     return e.order_bias(shares)
 
 
