@@ -136,6 +136,14 @@ def order_rows(candidates: DataFrame, k: int = ROTATIONS) -> DataFrame:
     return shown.withColumn("option", option).drop("_shift")
 
 
+def option_places(candidates: DataFrame, k: int = ROTATIONS) -> DataFrame:
+    """candidates (with family and label) with order_idx and position of the label in each order: order_rows where option = label, without the rows of all other options."""
+    catalogue = F.create_map(*[x for f, o in FAMILIES.items() for x in (F.lit(f), F.array(*map(F.lit, o)))])
+    placed = candidates.withColumn("_options", F.element_at(catalogue, F.col("family"))).withColumn("_at", F.array_position("_options", F.col("label"))).where("_at > 0")
+    asked = placed.select("*", F.posexplode_outer(rotations(F.size("_options"), F.lit(k))).alias("order_idx", "_shift"))
+    return asked.withColumn("position", F.pmod(F.col("_at") - 1 - F.col("_shift"), F.size("_options")).cast("int")).drop("_options", "_at", "_shift")
+
+
 def letter_of(token: Column) -> Column:
     return F.upper(F.regexp_replace(F.trim(token), r"[).:]+$", ""))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.validators import NRIC_LETTERS, NRIC_WEIGHTS
 from ..sources.corpora import parse_markup
-from .judge import order_rows
+from .judge import family_of, option_places
 
 SURNAMES = ("Tan", "Lim", "Lee", "Ng", "Wong", "Goh", "Chua", "Koh", "Rahman", "Ismail", "Nair", "Pillai", "Singh", "Kumar", "Cruz", "Pereira")
 GIVEN = ("Wei Ming", "Mei Ling", "Aisyah", "Farid", "Priya", "Arjun", "Hui Min", "Kai", "Sofia", "Daniel", "Nur Aini", "Ravi", "Jia Hao", "Siew Lan", "Marcus", "Deepa")
@@ -86,13 +86,11 @@ def sft_rows(docs: DataFrame, held_out: DataFrame | None = None) -> DataFrame:
 
     Spans whose label the family doesn't offer can't be answered and are left out, as are documents whose text is in
     held_out (text)."""
-    from .judge import family_of
-
     if held_out is not None:
         docs = docs.join(held_out.select("text").distinct(), "text", "left_anti")
-    gold = docs.select(F.col("id").alias("doc"), F.inline("spans"))
-    decoys = docs.select(F.col("id").alias("doc"), F.inline("decoys")).select("doc", "start", "end", "match", F.lit("none").alias("label"))
-    asked = gold.withColumn("label", F.when(F.col("label") == "date_other", "none").otherwise(F.col("label"))).unionByName(decoys).withColumn("family", family_of(F.col("match")))
-    shown = order_rows(asked)
+    some = lambda name: F.coalesce(name, F.array().cast(docs.schema[name].dataType))
+    decoys = F.transform(some("decoys"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), F.lit("none").alias("label")))
+    both = docs.select(F.col("id").alias("doc"), F.inline_outer(F.concat(some("spans"), decoys))).where("start IS NOT NULL")  # outer: see propose.raw_proposals
+    asked = both.withColumn("label", F.when(F.col("label") == "date_other", "none").otherwise(F.col("label"))).withColumn("family", family_of(F.col("match")))
     letter = F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("position") + 1, F.lit(1))
-    return shown.where(F.col("option") == F.col("label")).select("doc", "start", "end", "label", "family", "order_idx", letter.alias("letter"))
+    return option_places(asked).select("doc", "start", "end", "label", "family", "order_idx", letter.alias("letter"))
