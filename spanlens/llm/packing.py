@@ -98,9 +98,10 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048
     table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 256)  # a batch of 1,024 takes 40 MB more of a worker
     scratch = Scratch(spark, "packing")
     pieces = scratch.write(cut(docs, vocabulary, end_id, capacity).withColumn("uid", F.monotonically_increasing_id()))
+    small_batches(spark)
     part = pieces.where(F.col("length") < capacity)
     by_length = scratch.write(part.groupBy("length").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in by_length.collect()}
