@@ -91,3 +91,18 @@ def test_removal_survives_other_splits(shifting):
 
 def test_empty_table(no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
+
+
+def test_query_returns_what_is_left(spark, tmp_path):
+    """A passage of over 50 words stays below 400 bytes and goes from 400 on; what is left comes with its digest."""
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n)) + " "
+    short, long = words(60), words(80)
+    assert (len(short), len(long)) == (360, 480)
+    texts = [words(40) + p + words(30) for p in (short, short, long, long)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_dedup.op8(spark, f"file://{tmp_path}").collect()}
+    assert all(got[i].n_removed == 0 and got[i].kept is None and got[i].kept_sha256 == hashlib.sha256(texts[i].encode()).hexdigest() for i in (0, 1))
+    for i in (2, 3):
+        assert got[i].n_removed >= 480 and long.encode() not in got[i].kept and len(got[i].kept) == got[i].n_bytes - got[i].n_removed
+        assert hashlib.sha256(got[i].kept).hexdigest() == got[i].kept_sha256
